@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat_format, decontaminate, repeats, secret_scan, simhash
+from ledgerloom.llm import chat_format, decontaminate, line_dedup, repeats, secret_scan, simhash
 from ledgerloom.llm.common import table
 
 
@@ -23,6 +23,12 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.join(digest, "key").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("__llm_cut", F.lit(0).cast("bigint"), lambda a, x: a + x["e"] - x["s"])
+    return found.select("doc_id", F.size("__llm_cut").cast("bigint").alias("n_chunks_removed"), removed.alias("n_lines_removed"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -52,6 +58,6 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_suffix_dedup, op7_benchmark_decontamination, op8_simhash_near_dedup, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_suffix_dedup, op4_line_dedup, op7_benchmark_decontamination, op8_simhash_near_dedup, op10_chat_formatting)}
 
 ORACLE: dict[str, str] = {}
