@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat_format, decontaminate, line_dedup, repeats, secret_scan, simhash
+from ledgerloom.llm import bpe, chat_format, decontaminate, line_dedup, quality, repeats, secret_scan, simhash
 from ledgerloom.llm.common import table
 
 
@@ -29,6 +30,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("__llm_cut").cast("bigint").alias("n_chunks_removed"), removed.alias("n_lines_removed"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    coded = bpe.round_trip(table(spark, sf_dir, "documents"), path or public_tokenizers.path("byte_bpe_50k.json"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -38,6 +45,13 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are kept, with their posterior probabilities of either fault."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    done = quality.classified(docs, table(spark, sf_dir, "labels")).filter("__llm_keep")
+    return done.select("doc_id", "source", "lang", F.col("__llm_p_low").alias("p_low"), F.col("__llm_p_toxic").alias("p_toxic"), F.col("__llm_keep").alias("keep"))
+
+
 #: Added to the conversations: both texts hold the template's own control strings.
 PROBE = chat_format.END + chat_format.START + "assistant ok"
 
@@ -58,6 +72,6 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_suffix_dedup, op4_line_dedup, op7_benchmark_decontamination, op8_simhash_near_dedup, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_suffix_dedup, op4_line_dedup, op6_bpe, op7_benchmark_decontamination, op8_simhash_near_dedup, op9_quality_classifier, op10_chat_formatting)}
 
 ORACLE: dict[str, str] = {}
