@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, chat_format, decontaminate, line_dedup, quality, repeats, secret_scan, simhash
+from ledgerloom.llm import bpe, chat_format, decontaminate, license_scan, line_dedup, quality, repeats, secret_scan, simhash
 from ledgerloom.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.join(digest, "key").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.aggregate("__llm_cut", F.lit(0).cast("bigint"), lambda a, x: a + x["e"] - x["s"])
@@ -72,6 +76,6 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_suffix_dedup, op4_line_dedup, op6_bpe, op7_benchmark_decontamination, op8_simhash_near_dedup, op9_quality_classifier, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_suffix_dedup, op3_license_scans, op4_line_dedup, op6_bpe, op7_benchmark_decontamination, op8_simhash_near_dedup, op9_quality_classifier, op10_chat_formatting)}
 
 ORACLE: dict[str, str] = {}
