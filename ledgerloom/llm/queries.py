@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, chat_format, decontaminate, license_scan, line_dedup, quality, repeats, secret_scan, simhash
+from ledgerloom.llm import ann, bpe, chat_format, decontaminate, license_scan, line_dedup, quality, repeats, secret_scan, simhash
 from ledgerloom.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("__llm_cut").cast("bigint").alias("n_chunks_removed"), removed.alias("n_lines_removed"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     coded = bpe.round_trip(table(spark, sf_dir, "documents"), path or public_tokenizers.path("byte_bpe_50k.json"))
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
@@ -76,6 +80,6 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_suffix_dedup, op3_license_scans, op4_line_dedup, op6_bpe, op7_benchmark_decontamination, op8_simhash_near_dedup, op9_quality_classifier, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_suffix_dedup, op3_license_scans, op4_line_dedup, op5_nearest_neighbours, op6_bpe, op7_benchmark_decontamination, op8_simhash_near_dedup, op9_quality_classifier, op10_chat_formatting)}
 
 ORACLE: dict[str, str] = {}
