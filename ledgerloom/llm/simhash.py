@@ -24,9 +24,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import checkpointed
+from ledgerloom.llm.common import checkpointed, hidden
 
 WORDS, SEED, RADIUS = 4, 42, 4
+(ROW,) = hidden("row")
 SEGMENTS = ((0, 22), (22, 43), (43, 64))
 
 
@@ -51,13 +52,14 @@ def fingerprint(text: bytes) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = np.array([fingerprint(x.as_buffer().to_pybytes()) if x.is_valid else 0 for x in batch.column(1).cast(pa.large_binary())], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:1], *batch.columns[2:], pa.array(found.view(np.int64))], ["doc_id", *batch.schema.names[2:], "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints, f"doc_id {kind}, fp bigint")
+def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, the columns `keep` and fp, the fingerprint as a signed long."""
+    rows = docs.select("doc_id", "text", *keep)
+    kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in ("doc_id", *keep)]
+    return rows.mapInArrow(_fingerprints, ", ".join([*kinds, "fp bigint"]))
 
 
 def signed(mask: int) -> int:
@@ -103,10 +105,20 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row a document: doc_id, fp, component_id (smallest doc_id reachable over links, its own included)."""
-    prints = fingerprints(docs)
-    classes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    """One row a document: doc_id, fp, component_id (smallest doc_id reachable over links, its own included) and
+    __llm_row, its place in the table, with __llm_stays: the one row of each component that stays has the smallest
+    doc_id, and among equal ones the first place."""
+    prints = fingerprints(docs.withColumn(ROW, F.monotonically_increasing_id()), ROW)
+    place = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", ROW))
+    classes = checkpointed(prints.groupBy("fp").agg(place.alias("least")))
     roots = components(links(classes))
     placed = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    lowest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(placed.join(lowest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    lowest = placed.groupBy("root").agg(F.min("least").alias("first"))
+    found = prints.join(placed.join(lowest, "root").select("fp", "first"), "fp")
+    return found.select("doc_id", "fp", F.col("first.doc_id").alias("component_id"), ROW, (F.col(ROW) == F.col(f"first.{ROW}")).alias("__llm_stays"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents that stay, with all their columns."""
+    stay = near_duplicates(docs).filter("__llm_stays").select(ROW)
+    return docs.withColumn(ROW, F.monotonically_increasing_id()).join(stay, ROW, "left_semi").drop(ROW)

@@ -83,3 +83,12 @@ def test_long_chain_is_one_component(spark):
 
 def test_empty_table(spark, tmp_path):
     assert run(spark, tmp_path, []) == []
+
+
+def test_one_document_of_each_component_stays(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(5, text, "b"), (3, text, "a"), (3, text, "a"), (None, text, "n"), (9, "other words here", "c"), (None, "lone text of nobody", "d"), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, fp string")
+    left = simhash.one_of_each(docs)
+    assert left.columns == docs.columns
+    assert sorted(((r.doc_id, r.fp) for r in left.collect()), key=str) == sorted([(3, "a"), (9, "c"), (None, "d"), (None, None)], key=str)
