@@ -1 +1 @@
-""""""
+"""Column functions: texts, codes, money and dates as the ledger, acquirer and slips write them."""

@@ -1,4 +1,6 @@
 """Queries that bind the operators to the driver's tables, and SQL for them."""
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from ledgerloom.plans import reconciliation
+
+QUERIES = {**reconciliation.QUERIES}
+ORACLE = {**reconciliation.ORACLE}
