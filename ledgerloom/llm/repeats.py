@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.bytehash import Rolling, chunks, texts_of
-from ledgerloom.llm.common import checkpointed, shared_folder, whole_text
+from ledgerloom.llm.common import shared_folder, stored, whole_text
 
 LENGTH, GRAM, BLOCK = 400, 32, 32
 WINDOW = LENGTH - GRAM + 1
@@ -198,25 +198,24 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         lists = parts.groupBy("key").agg(F.collect_list(F.struct(*[c for c in parts.columns if c != "key"])).alias("parts"))
         return texts.select("key", "text").join(lists, "key")
 
-    phrases = checkpointed(texts.filter(F.octet_length("text") >= LENGTH).mapInArrow(_parse, PHRASES))
-    often = phrases.groupBy("gram").agg(F.sum("copies").alias("w")).filter("w > 1").select("gram")
-    phrases = phrases.join(often, "gram", "left_semi")
-    classes = checkpointed(phrases.groupBy("gram", "e1", "e2").agg(F.sum("copies").alias("w"), F.min(F.struct("key", "s", "n", "lead")).alias("at")))
-    whole = phrases.filter("copies = 1").join(classes.filter("w > 1").select("gram", "e1", "e2"), ["gram", "e1", "e2"], "left_semi")
-    spans = whole.select("key", "s", (F.col("s") + F.col("n") + LENGTH - 1).alias("e"))
+    def span(whole: DataFrame) -> DataFrame:
+        return whole.select("key", "s", (F.col("s") + F.col("n") + LENGTH - 1).alias("e"))
 
-    # A phrase that is not repeated as a whole, and all that have its trigger.
-    open_ = classes.filter("w = 1").select("gram").distinct()
+    # Classes are counted before anything is joined, so a phrase or trigger that is everywhere is a few rows by then.
+    phrases = stored(texts.filter(F.octet_length("text") >= LENGTH).mapInArrow(_parse, PHRASES))
+    classes = stored(phrases.groupBy("gram", "e1", "e2").agg(F.sum("copies").alias("w"), F.min(F.struct("key", "s", "n", "lead")).alias("at")))
+    spans = span(phrases.filter("copies = 1").join(classes.filter("w > 1").select("e1", "e2"), ["e1", "e2"], "left_semi"))
+
+    # Phrases that are not repeated as a whole but whose trigger string is, and all that share it.
+    open_ = classes.groupBy("gram").agg(F.sum("w").alias("c"), F.count_if(F.col("w") == 1).alias("u")).filter("c > 1 and u > 0").select("gram")
     live = classes.join(open_, "gram", "left_semi").select("at.key", "at.s", "at.n", "at.lead", "w")
-    blocks = checkpointed(gathered(live).mapInArrow(_blocks, BLOCKS))
-    blocks = blocks.join(blocks.groupBy("core").agg(F.sum("w").alias("c")).filter("c > 1").select("core"), "core", "left_semi")
-    same = checkpointed(blocks.groupBy("core", "u1", "u2").agg(F.sum("w").alias("c"), F.min(F.struct("key", "s", "n")).alias("at")))
-    whole = blocks.filter("w = 1").join(same.filter("c > 1").select("core", "u1", "u2"), ["core", "u1", "u2"], "left_semi")
-    spans = spans.unionByName(whole.select("key", "s", (F.col("s") + F.col("n") + LENGTH - 1).alias("e")))
+    blocks = stored(gathered(live).mapInArrow(_blocks, BLOCKS))
+    same = stored(blocks.groupBy("core", "u1", "u2").agg(F.sum("w").alias("c"), F.min(F.struct("key", "s", "n")).alias("at")))
+    spans = spans.unionByName(span(blocks.filter("w = 1").join(same.filter("c > 1").select("u1", "u2"), ["u1", "u2"], "left_semi")))
 
-    mixed = same.filter("c = 1").select("core").distinct()
+    mixed = same.groupBy("core").agg(F.sum("c").alias("w"), F.count_if(F.col("c") == 1).alias("u")).filter("w > 1 and u > 0").select("core")
     live = same.join(mixed, "core", "left_semi").select("at.key", "at.s", "at.n", F.col("c").alias("w"))
-    singles = checkpointed(gathered(live).mapInArrow(_singles, SINGLES))
+    singles = stored(gathered(live).mapInArrow(_singles, SINGLES))
     twice = singles.groupBy("h1", "h2").agg(F.sum("w").alias("c")).filter("c > 1").select("h1", "h2")
     found = singles.filter("w = 1").join(twice, ["h1", "h2"], "left_semi").select("key", "s", (F.col("s") + LENGTH).alias("e"))
     spans = spans.unionByName(found).groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
