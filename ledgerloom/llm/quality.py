@@ -1,6 +1,6 @@
 """Quality classifier: document evidence combined with site posteriors by hierarchical empirical Bayes.
 
-1. Training, on at most `max_labelled` = 20,000 labelled documents (those with the least hash of doc_id and
+1. Training, on at most `max_labelled` = 10,000 labelled documents (those with the least hash of doc_id and
    label, so the choice does not depend on the order of rows): for each of the two faults, low quality and
    toxic, the words that are significantly more frequent in faulty documents are weighed, and a logistic
    regression combines the sum of their weights with measures of form (share of symbols, digits and
@@ -35,7 +35,7 @@ FAULTS = ("low", "toxic")
 BITS = 18
 #: A word is weighed where faulty documents have it so many standard errors more often, and so many have it.
 SIGNIFICANCE, SUPPORT = 8.0, 10
-MAX_LABELLED, MAX_SITES = 20_000, 100_000
+MAX_LABELLED, MAX_SITES = 10_000, 100_000
 #: How many documents' worth a score may say, and how far a site may shift a document, in log-odds.
 LIMIT = 12.0
 
