@@ -75,7 +75,7 @@ def shingles(text: str) -> list[str]:
 
 def window(m: int):
     """Of the first shingle of a window: its shingle hashes and its words."""
-    return lambda i: F.struct(F.slice("h", i + 1, F.lit(2 * m)).alias("h"), F.slice("words", i + 1, F.lit(2 * m + WORDS - 1)).alias("words"))
+    return lambda i: F.struct(F.lit(m).alias("m"), F.slice("h", i + 1, F.lit(2 * m)).alias("h"), F.slice("words", i + 1, F.lit(2 * m + WORDS - 1)).alias("words"))
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
@@ -95,13 +95,11 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
     rows = rows.filter(F.size("words") >= WORDS).withColumn("w", F.transform("words", lambda x: F.xxhash64(x)))
     at = lambda i: [F.get(F.col("w"), i + k) for k in range(WORDS)]
     rows = rows.withColumn("h", F.transform(F.sequence(F.lit(0), F.size("w") - WORDS), lambda i: F.xxhash64(*at(i)))).drop("w")
-    found = None
-    for m in groups:
-        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("h") - 1), F.lit(m))
-        windows = rows.select("row", "doc_id", F.explode(F.transform(starts, window(m))).alias("x"))
-        windows = windows.select("row", "doc_id", "x.words", F.explode(F.slice(F.sort_array(F.array_distinct("x.h")), 1, BANDS)).alias("band"), F.lit(m).alias("m"))
-        hits = windows.join(index, ["m", "band"]).select("row", "doc_id", "template", "license", "wanted", "words")
-        found = hits if found is None else found.unionByName(hits)
+    # The windows of all groups together, so that each text is cut into words once.
+    starts = lambda m: F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("h") - 1), F.lit(m))
+    windows = rows.select("row", "doc_id", F.explode(F.concat(*[F.transform(starts(m), window(m)) for m in groups])).alias("x"))
+    windows = windows.select("row", "doc_id", "x.m", "x.words", F.explode(F.slice(F.sort_array(F.array_distinct("x.h")), 1, BANDS)).alias("band"))
+    found = windows.join(index, ["m", "band"]).select("row", "doc_id", "template", "license", "wanted", "words")
     texts = F.transform(F.sequence(F.lit(0), F.size("words") - WORDS), lambda i: F.array_join(F.slice("words", i + 1, F.lit(WORDS)), " "))
     contained = F.size(F.array_intersect("wanted", texts))
     found = found.filter(F.size("words") >= WORDS).select("row", "doc_id", "template", "license", "words", contained.alias("matched"), F.size("wanted").alias("shingles"))
