@@ -77,7 +77,7 @@ def parsed(raw: DataFrame) -> DataFrame:
     for f in ("itens", "trocas", "campos_ilegiveis"):
         not_list = not_list | ~F.coalesce(kind(f), F.lit("VOID")).rlike("^(VOID|ARRAY)")
     error = F.when(F.col("shape").isNull() | ~F.schema_of_variant("shape").startswith("OBJECT"), "the payload is not a JSON object").when(not_list, "a list field is not a list").when(bad_amount, "an amount is not money")
-    return rows.withColumn("error", error).drop("shape")
+    return settled(rows.withColumn("error", error).drop("shape"))
 
 
 def checks(items_: Column, returns: Column, sub_total: Column, discount: Column, total: Column, pieces: Column, percent: Column) -> Column:
@@ -124,21 +124,27 @@ def effective_date(text: Column, confirmed: Column, file: Column, start: date, e
     )
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """The same rows, their columns computed once: no later filter or projection is merged into what made them."""
+    return rows.select(F.explode(F.array(F.struct(*rows.columns))).alias("x")).select("x.*")
+
+
 def typed(raw: DataFrame, start: date, end: date) -> DataFrame:
     """Typed slips of the sound rows of raw; dates of lone slips are flagged by date_outliers."""
     rows = parsed(raw).filter("error is null")
     rows = rows.withColumns({"items": items(F.col("p.itens")), "returns": items(F.col("p.trocas"))})
     rows = rows.withColumns({"sub_total_cents": slip_money(F.col("p.sub_total")), "total_cents": slip_money(F.col("p.total")), "piece_count": integer(F.col("p.num_pecas"))})
+    rows = settled(rows)
     base = F.coalesce("sub_total_cents", F.when(F.size("items") > 0, total_of(F.col("items"))))
     percent = is_percent(F.col("p.desconto"))
     rows = rows.withColumns({"discount_cents": discount_cents(F.col("p.desconto"), base), "at": effective_date(F.col("p.data"), F.col("p.data_confirmada"), F.col("source_file"), start, end)})
     lost = F.concat(item_problems(F.col("p.itens")), item_problems(F.col("p.trocas")))
-    rows = rows.withColumn("lost", lost)
+    rows = settled(rows.withColumn("lost", lost))
     no_base = F.when(percent & F.col("discount_cents").isNull(), F.concat(F.lit("DISCOUNT of "), F.col("p.desconto"), F.lit(" without SUB TOTAL or items")))
     own = checks(F.col("items"), F.col("returns"), F.col("sub_total_cents"), F.col("discount_cents"), F.col("total_cents"), F.col("piece_count"), percent)
     unreadable = F.coalesce("p.campos_ilegiveis", F.array().cast("array<string>"))
     flags = F.array_compact(F.array(*[F.when(F.col(f"p.{f}"), f) for f in sorted(FLAGS)]))
-    return rows.select(
+    rows = rows.select(
         "seq", image_id(F.col("source_file"), F.col("page"), F.col("position")).alias("image_id"), "source_file", "page", "position",
         filled(F.col("p.numero")).alias("number"), filled(F.col("p.numero_controle")).alias("control_no"),
         F.col("at.date").alias("date"), F.col("at.source").alias("date_source"), F.lit(False).alias("date_suspect"),
@@ -149,6 +155,7 @@ def typed(raw: DataFrame, start: date, end: date) -> DataFrame:
         F.when(F.col("at.source") == "file", F.array_remove(unreadable, "data")).otherwise(unreadable).alias("unreadable_fields"),
         F.concat(own, "lost", F.array_compact(F.array(no_base, F.col("at.check")))).alias("checks"),
     )
+    return settled(rows)
 
 
 def rejected(raw: DataFrame) -> DataFrame:

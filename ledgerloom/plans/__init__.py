@@ -1,6 +1,6 @@
 """Queries that bind the operators to the driver's tables, and SQL for them."""
 
-from ledgerloom.plans import reconciliation
+from ledgerloom.plans import reconciliation, slips
 
-QUERIES = {**reconciliation.QUERIES}
-ORACLE = {**reconciliation.ORACLE}
+QUERIES = {**reconciliation.QUERIES, **slips.QUERIES}
+ORACLE = {**reconciliation.ORACLE, **slips.ORACLE}
