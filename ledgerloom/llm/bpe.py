@@ -29,9 +29,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import frugal
+
 #: Fixed value: the pattern of a byte-level pre-tokenizer.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-MEMO, PAIRS = 600_000, 1_000_000
+MEMO, PAIRS = 300_000, 300_000
 #: Characters of output in a batch at most, unless a single text is longer.
 BATCH = 4 << 20
 
@@ -181,4 +183,4 @@ def _coder(path: str) -> Callable:
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (array of int) of every whole text, and decoded, the text that the ids give."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_coder(path), f"doc_id {kind}, ids array<int>, decoded string")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(frugal(_coder(path)), f"doc_id {kind}, ids array<int>, decoded string")

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.bytehash import chunks, texts_of, words
+from ledgerloom.llm.common import frugal
 
 #: The places of the five words that each mask keeps.
 MASKS = ((0, 2, 4, 5, 6), (0, 2, 3, 4, 9), (0, 1, 3, 4, 7), (0, 2, 6, 8, 9))
@@ -127,7 +128,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, max_seeds: int = 4_000_000)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     out = None
     for part in parts(benchmark, max_seeds):
-        found = rows.mapInArrow(_finder([r.item_id for r in part], [r.text for r in part]), schema)
+        found = rows.mapInArrow(frugal(_finder([r.item_id for r in part], [r.text for r in part])), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -150,7 +151,7 @@ def _finder(ids: list, texts: list) -> Callable:
 def decontaminated(docs: DataFrame, benchmark: DataFrame, max_seeds: int = 4_000_000) -> DataFrame:
     """The documents that overlap with no item, with all their columns."""
     for part in parts(benchmark, max_seeds):
-        docs = docs.mapInArrow(_filter([r.text for r in part]), docs.schema)
+        docs = docs.mapInArrow(frugal(_filter([r.text for r in part])), docs.schema)
     return docs
 
 

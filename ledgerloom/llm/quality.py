@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm.bytehash import chunks, texts_of, words
-from ledgerloom.llm.common import checkpointed
+from ledgerloom.llm.common import checkpointed, frugal
 
 FAULTS = ("low", "toxic")
 BITS = 18
@@ -205,7 +205,7 @@ def _scorer(model: Model) -> Callable:
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """The documents with __llm_low and __llm_toxic, the log-odds of the faults by their texts alone."""
     added = [T.StructField(name, T.DoubleType()) for name in ("__llm_low", "__llm_toxic")]
-    return docs.mapInArrow(_scorer(model), T.StructType([*docs.schema.fields, *added]))
+    return docs.mapInArrow(frugal(_scorer(model)), T.StructType([*docs.schema.fields, *added]))
 
 
 def logit(p):

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import checkpointed, hidden
+from ledgerloom.llm.common import checkpointed, frugal, hidden
 
 WORDS, SEED, RADIUS = 4, 42, 4
 (ROW,) = hidden("row")
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
     """doc_id, the columns `keep` and fp, the fingerprint as a signed long."""
     rows = docs.select("doc_id", "text", *keep)
     kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in ("doc_id", *keep)]
-    return rows.mapInArrow(_fingerprints, ", ".join([*kinds, "fp bigint"]))
+    return rows.mapInArrow(frugal(_fingerprints), ", ".join([*kinds, "fp bigint"]))
 
 
 def signed(mask: int) -> int:
