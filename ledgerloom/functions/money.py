@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import let
 from ledgerloom.functions.text import is_blank
 
 
@@ -20,20 +21,27 @@ def parse_money_cents(text: Column) -> Column:
     is; parentheses negate, also what is negative already.
     """
     t = F.replace(F.replace(F.replace(F.trim(F.coalesce(text, F.lit(""))), F.lit("R$"), F.lit("")), F.lit("r$"), F.lit("")), F.lit(" "), F.lit(""))
+    return let(t, lambda t: F.when(t.isin("", "-", "--"), F.lit(0).cast("bigint")).otherwise(_signed(t)))
+
+
+def _signed(t: Column) -> Column:
     negated = F.startswith(t, F.lit("(")) & F.endswith(t, F.lit(")"))
-    body = F.regexp_replace(F.when(negated, F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t), r"[^0-9,.+\-]", "")
+    inner = F.when(negated, F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t)
+    cents = let(F.regexp_replace(inner, r"[^0-9,.+\-]", ""), lambda body: (F.round(_plain(body).try_cast("decimal(20,6)"), 2) * 100).cast("bigint"))
+    return let(cents, lambda c: F.when(negated, -c).otherwise(c))
+
+
+def _plain(body: Column) -> Column:
+    """With a dot before the decimals and no other separator."""
     last_of_many = lambda sep: F.regexp_replace(body, rf"[{sep}](?=.*[{sep}])", "")
     comma, dot = F.instr(body, ",") > 0, F.instr(body, ".") > 0
     comma_last = F.locate(",", F.reverse(body)) < F.locate(".", F.reverse(body))
-    plain = (
+    return (
         F.when(comma & dot & comma_last, F.replace(F.replace(body, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
         .when(comma & dot, F.replace(body, F.lit(","), F.lit("")))
         .when(comma, F.replace(last_of_many(","), F.lit(","), F.lit(".")))
         .otherwise(last_of_many("."))
     )
-    amount = plain.try_cast("decimal(20,6)")
-    cents = (F.round(amount, 2) * 100).cast("bigint")
-    return F.when(t.isin("", "-", "--"), F.lit(0).cast("bigint")).otherwise(F.when(negated, -cents).otherwise(cents))
 
 
 def slip_money(text: Column) -> Column:

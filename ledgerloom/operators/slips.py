@@ -11,6 +11,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import let
 from ledgerloom.functions.codes import image_id, normalize_barcode, only_digits
 from ledgerloom.functions.dates import date_from_filename, resolve_slip_date
 from ledgerloom.functions.money import format_currency, slip_money, unreadable_money
@@ -111,17 +112,19 @@ def self_consistent(items_: Column, returns: Column, sub_total: Column, discount
 
 def effective_date(text: Column, confirmed: Column, file: Column, start: date, end: date) -> Column:
     """date, source (confirmed, file or slip) and check: the confirmed date, else the file name's, else the slip's."""
-    of_file = date_from_filename(file, start, end)
-    read = resolve_slip_date(text, start, end, F.month(of_file))
     day = lambda d: F.date_format(d, "dd/MM")
-    other = F.concat(F.lit("the slip says "), day(read), F.lit(", the file is of "), day(of_file), F.lit("; "), day(of_file), F.lit(" was taken"))
-    sure = F.coalesce(confirmed, F.lit(False)) & read.isNotNull()
-    unread = F.when(filled(text).isNotNull() & read.isNull(), F.concat(F.lit("the date "), text, F.lit(" could not be read")))
-    return F.struct(
-        F.when(sure, read).otherwise(F.coalesce(of_file, read)).alias("date"),
-        F.when(sure, "confirmed").when(of_file.isNotNull(), "file").otherwise("slip").alias("source"),
-        F.when(sure, None).when(of_file.isNotNull(), F.when(read != of_file, other)).otherwise(unread).alias("check"),
-    )
+
+    def chosen(of_file: Column, read: Column) -> Column:
+        other = F.concat(F.lit("the slip says "), day(read), F.lit(", the file is of "), day(of_file), F.lit("; "), day(of_file), F.lit(" was taken"))
+        sure = F.coalesce(confirmed, F.lit(False)) & read.isNotNull()
+        unread = F.when(filled(text).isNotNull() & read.isNull(), F.concat(F.lit("the date "), text, F.lit(" could not be read")))
+        return F.struct(
+            F.when(sure, read).otherwise(F.coalesce(of_file, read)).alias("date"),
+            F.when(sure, "confirmed").when(of_file.isNotNull(), "file").otherwise("slip").alias("source"),
+            F.when(sure, None).when(of_file.isNotNull(), F.when(read != of_file, other)).otherwise(unread).alias("check"),
+        )
+
+    return let(date_from_filename(file, start, end), lambda f: let(resolve_slip_date(text, start, end, F.month(f)), lambda r: chosen(f, r)))
 
 
 def settled(rows: DataFrame) -> DataFrame:

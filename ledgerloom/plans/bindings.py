@@ -126,6 +126,28 @@ VIEWS = {
         SELECT k, CAST(k AS STRING) AS sale_number, CASE k % 6 WHEN 0 THEN right(CAST(k AS STRING), 3) WHEN 1 THEN concat(right(CAST(k AS STRING), 3), '2') WHEN 2 THEN '5' WHEN 3 THEN ''
                WHEN 4 THEN concat('0', right(CAST(k AS STRING), 2)) ELSE concat('n. ', right(CAST(k + 1 AS STRING), 2)) END AS control_no
         FROM b_orders""",
+    "b_money": f"""
+        SELECT k, cents, CASE WHEN k % 2 = 0 THEN cents ELSE -cents END AS signed, CASE k % 9
+               WHEN 0 THEN concat('R$ ', {amount("cents")}) WHEN 1 THEN concat(CAST(CAST(floor(cents / 100) AS BIGINT) AS STRING), '.', lpad(CAST(cents % 100 AS STRING), 2, '0'))
+               WHEN 2 THEN concat('(', {amount("cents")}, ')') WHEN 3 THEN '--' WHEN 4 THEN 'abc' WHEN 6 THEN '' WHEN 7 THEN concat('-', {amount("cents")})
+               WHEN 5 THEN concat(CAST(CAST(floor(cents / 100000) AS BIGINT) AS STRING), '.', lpad(CAST(CAST(floor(cents / 100) AS BIGINT) % 1000 AS STRING), 3, '0'), ',', lpad(CAST(cents % 100 AS STRING), 2, '0'))
+               ELSE CAST(CAST(floor(cents / 100) AS BIGINT) AS STRING) END AS written FROM b_orders""",
+    "b_date": f"""
+        SELECT k, d, CASE k % 6 WHEN 0 THEN CAST(d AS STRING) WHEN 1 THEN {local("d", "/")} WHEN 2 THEN concat({local("d", "-")}, ' 10:30') WHEN 3 THEN concat(CAST(d AS STRING), 'T00:00:00')
+               WHEN 4 THEN CAST(datediff(d, DATE '1899-12-30') AS STRING) ELSE 'no date' END AS written FROM b_orders""",
+    "b_text": """
+        SELECT c_custkey AS k, concat('  ', c_name, ' Ção  é ', c_mktsegment, CASE WHEN c_custkey % 7 = 0 THEN ' Ñandú' ELSE '' END) AS t,
+               concat('00', CAST(c_custkey AS STRING), '-', CAST(c_nationkey AS STRING)) AS bar FROM {customer}""",
+    "b_response": """
+        SELECT k, CASE k % 5 WHEN 0 THEN concat(chr(123), '"numero":"', CAST(k AS STRING), '"', chr(125)) WHEN 1 THEN concat(chr(123), '"boleta":', chr(123), '"numero":"', CAST(k AS STRING), '"', chr(125), chr(125))
+               WHEN 2 THEN concat('[', chr(123), '"boleta":', chr(123), '"numero":"', CAST(k AS STRING), '"', chr(125), chr(125), ']') WHEN 3 THEN concat(chr(123), '"error":"rate limit reached"', chr(125))
+               ELSE concat('[', chr(123), '"error":"bad image"', chr(125), ']') END AS body FROM b_orders""",
+    "b_retry": "SELECT k, CASE k % 3 WHEN 0 THEN concat('try again in ', CAST(k % 900 AS STRING), 'ms') WHEN 1 THEN concat('Retry after ', CAST(k % 60 AS STRING), ' s please') ELSE 'no hint' END AS message FROM b_orders",
+    "b_slot": "SELECT concat('h', CAST(doc_id % 97 AS STRING)) AS hash, CAST(doc_id AS INT) AS page, CAST(doc_id % 3 AS INT) AS position FROM {documents}",
+    "b_cache": """
+        SELECT concat('h', CAST(doc_id % 97 AS STRING)) AS hash, CAST(doc_id AS INT) AS page, CAST(doc_id % 3 AS INT) AS position, CASE WHEN doc_id % 11 = 0 THEN 'v1' ELSE 'v2' END AS render_version
+        FROM {documents} WHERE doc_id % 97 % 2 = 0 OR doc_id % 5 <> 0""",
+    "b_column": "SELECT user_id AS page, CAST(event_id % 400 AS INT) AS x, min(event_id % 400 % 10) < 6 AS filled FROM {events} GROUP BY user_id, event_id % 400",
 }
 
 
@@ -150,6 +172,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def for_duckdb(sql: str) -> str:
-    """The statement over the test tables in DuckDB, whose listagg takes its order inside."""
+    """The statement over the test tables in DuckDB, which spells two functions otherwise."""
     plain = re.sub(r"\{(orders|customer|lineitem|events|documents)\}", r"\1", with_views(sql))
+    plain = plain.replace("datediff(d, DATE '1899-12-30')", "date_diff('day', DATE '1899-12-30', d)")
     return re.sub(r"listagg\(((?:(?!listagg).)*?), ','\) WITHIN GROUP \(ORDER BY (\w+)\)", r"string_agg(\1, ',' ORDER BY \2)", plain)
