@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +13,7 @@ from ledgerloom.functions.codes import code_distance, control_matches
 from ledgerloom.operators import match, slips
 from ledgerloom.plans.bindings import for_duckdb, view
 
-#: The cross-check runs over a month; the slip queries over all orders.
 START, END = date(1995, 1, 1), date(2001, 12, 31)
-CROSS_START, CROSS_END = date(1998, 3, 1), date(1998, 3, 31)
 
 
 def raw(spark: SparkSession, d: str) -> DataFrame:
@@ -95,10 +94,6 @@ def control_suffix_match(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("k", control_matches(F.col("control_no"), F.col("sale_number")).alias("matches"))
 
 
-def prepared(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return match.prepared(slips.date_outliers(typed(spark, d)), ledger(spark, d), CROSS_START, CROSS_END)
-
-
 def piece_match(spark: SparkSession, d: str) -> DataFrame:
     """The pieces of every slip against those of the sale that it was written for."""
     left, right = match.prepared(typed(spark, d).withColumn("sale_number", (F.col("seq")).cast("string")), ledger(spark, d), START, END)
@@ -107,11 +102,17 @@ def piece_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pair_scores(spark: SparkSession, d: str) -> DataFrame:
-    return match.scored_pairs(*prepared(spark, d)).filter(F.col("score") >= match.MIN_SCORE)
+    return crosscheck(spark, d).day_scores
+
+
+@lru_cache(maxsize=1)
+def _crosscheck(spark: SparkSession, d: str) -> match.Crosscheck:
+    """One for the queries below that follow each other in a session on the same tables."""
+    return match.Crosscheck(checkpointed(ledger(spark, d)), slips.date_outliers(checkpointed(typed(spark, d))), START, END, checkpointed)
 
 
 def crosscheck(spark: SparkSession, d: str) -> match.Crosscheck:
-    return match.Crosscheck(ledger(spark, d), slips.date_outliers(typed(spark, d)), CROSS_START, CROSS_END, checkpointed)
+    return _crosscheck(spark, d)
 
 
 def day_assignment(spark: SparkSession, d: str) -> DataFrame:

@@ -1 +1 @@
-""""""
+"""Incremental reading of slips."""
