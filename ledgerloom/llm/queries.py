@@ -82,4 +82,18 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_suffix_dedup, op3_license_scans, op4_line_dedup, op5_nearest_neighbours, op6_bpe, op7_benchmark_decontamination, op8_simhash_near_dedup, op9_quality_classifier, op10_chat_formatting)}
 
-ORACLE: dict[str, str] = {}
+# The conversations are escaped where a plain rendering would not read back: control strings or escapes in a text or role.
+_TURNS = f"""
+    rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+             UNION ALL SELECT -1, 0, 'user', '{PROBE}' UNION ALL SELECT -1, 1, 'assistant', '{PROBE}'),
+    marked AS (SELECT *, regexp_matches(text, '<\\|im_(start|end)\\|>') OR regexp_matches(text, '<\\\\+\\|') OR regexp_matches(role, '\\n|%25|%0A|%3C|<\\|im_(start|end)\\|>') AS odd FROM rows),
+    known AS (SELECT *, bool_or(odd) OVER (PARTITION BY conv_id) AS escaped FROM marked)"""
+ORACLE: dict[str, str] = {
+    "op10_chat_formatting": f"""WITH {_TURNS}
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+           CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           CAST(sum({len(chat_format.START) + len(chat_format.END) + 2} + length(role) + length(text) + CASE WHEN escaped THEN len(regexp_extract_all(text, '<\\\\*\\|'))
+                + 2 * len(regexp_extract_all(role, '[%\\n<]')) ELSE 0 END) AS BIGINT) AS formatted_chars
+    FROM known GROUP BY conv_id""",
+}
