@@ -105,7 +105,7 @@ def _searcher(codes: Codes, k: int, dims: int) -> Callable:
     def search(rows: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if rows.num_rows and queries.num_rows:
-            vectors, wanted = _vectors(rows.column("vector"), dims), _vectors(queries.column("vector"), dims)
+            vectors, wanted = _vectors(rows.column("vector"), dims), _vectors(queries.column("asked"), dims)
             own, asked = codes.of(vectors), codes.of(wanted)
             index = Index(own, codes.radius)
             row_ids, vec_ids = rows.column("v_row").to_numpy(), rows.column("vec_id").to_pylist()
@@ -151,8 +151,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, rows_a_block: int
     deal = lambda name, blocks: F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int")
     each = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = rows.select(deal("v_row", v_blocks).alias("vb"), each(q_blocks).alias("qb"), "v_row", "vec_id", "vector")
-    queries = rows.filter("asks").select(F.col("v_row").alias("q_row"), F.col("vec_id").alias("query_id"), "vector")
-    right = queries.select(deal("q_row", q_blocks).alias("qb"), each(v_blocks).alias("vb"), "q_row", "query_id", "vector")
+    # Both sides come from one table: all columns of the queries are named anew, or pruning would mix them up.
+    queries = rows.filter("asks").select(F.col("v_row").alias("q_row"), F.col("vec_id").alias("query_id"), F.col("vector").alias("asked"))
+    right = queries.select(deal("q_row", q_blocks).alias("qb"), each(v_blocks).alias("vb"), "q_row", "query_id", "asked")
     found = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(_searcher(codes, k, dims), FOUND)
     best = Window.partitionBy("q_row").orderBy("score", F.col("vec_id").asc_nulls_last(), "v_row")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -74,5 +74,10 @@ def test_fewer_candidates_than_asked_for(spark):
     assert got == [(1, 1, math.sqrt(10)), (2, None, 4.0)] or got == [(1, 1, math.sqrt(10)), (2, None, 4.0)][::-1]
 
 
+def test_columns_may_be_pruned(spark):
+    found = queries.op5_nearest_neighbours(spark, "/root/testdata/sf0.001")
+    assert found.count() == len(found.select("rank").collect()) > 0
+
+
 def test_empty_table(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id bigint, embedding array<float>"), F.col("vec_id") % 100 == 0).collect() == []
