@@ -1,11 +1,13 @@
-"""Removal of repeated lines in content-defined chunks (DataFrame functions only).
+"""Removal of repeated passages of lines in content-defined chunks (DataFrame functions only).
 
-Lines are cut at line feeds and hashed. A rolling hash over the hashes of two neighbouring lines ends a
-chunk where it is divisible by `spread`, so boundaries depend on the lines around them only and survive
-insertions elsewhere. A chunk of `LEAST` = 2 or more lines that occurs anywhere before, in this or another
-document, is taken out; its first occurrence (smallest doc_id, then place in the table) stays. Single-line
-chunks always stay. What hashes propose, bytes decide: a chunk is taken out only where it equals its first
-occurrence byte by byte.
+Lines are cut at line feeds and hashed. Every pair of neighbouring lines in the corpus is looked up: how often it
+occurs, and whether it always has the same line before and after it. A chunk ends where a pair occurs once only,
+before a pair that is entered from different lines, and after a pair that is left to different lines. So a
+passage of two or more lines that occurs in two places has a boundary at both its ends in both of them, wherever
+it is embedded, and is made of whole chunks in between. A chunk of `LEAST` = 2 or more lines that occurs anywhere
+before, in this or another document, is taken out; its first occurrence (smallest doc_id, then place in the
+table) stays. Single-line chunks always stay. What hashes propose, bytes decide: a chunk is taken out only where
+it equals its first occurrence byte by byte.
 
 Only hashes and places are shuffled over the corpus; the texts are dealt out once, by row, and serve both
 the comparison and the cut. Counts are pre-aggregated, and the joins on a hash have one row a hash on one
@@ -23,16 +25,32 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import checkpointed, hidden
 
-LEAST, SPREAD = 2, 3
+#: Lines of a chunk at least, and over how many places a pair of lines must be spread to count as repeated.
+LEAST, SPREAD = 2, 2
 ROW, LINES, HASHES, ENDS = hidden("row", "lines", "hashes", "ends")
+GLUED, BEFORE, AFTER = hidden("glued", "before", "after")
 
 
 def cut(df: DataFrame, spread: int) -> DataFrame:
-    """Adds LINES and ENDS (the number of lines up to the end of each chunk)."""
+    """Adds LINES and ENDS (the number of lines up to the end of each chunk); df is the whole corpus, ROW its key."""
     df = df.withColumn(LINES, F.split("text", "\n", -1)).withColumn(HASHES, F.transform(LINES, lambda x: F.xxhash64(x)))
+    at = lambda i: F.coalesce(F.get(F.col(HASHES), i), F.lit(0))
     last = F.size(HASHES)
-    rolled = lambda i: F.xxhash64(F.get(F.col(HASHES), i - 2), F.get(F.col(HASHES), i - 1))
-    return df.withColumn(ENDS, F.when(F.col("text").isNotNull(), F.filter(F.sequence(F.lit(1), last), lambda i: (i == last) | (F.pmod(rolled(i), F.lit(spread)) == 0))))
+    pair = lambda i: F.struct(i.alias("i"), F.xxhash64(at(i - 1), at(i)).alias("p"), at(i - 2).alias("l"), at(i + 1).alias("r"))
+    pairs = df.filter(last > 1).select(ROW, F.explode(F.transform(F.sequence(F.lit(1), last - 1), pair)).alias("x")).select(ROW, "x.*")
+    # One row a pair; its neighbours differ where the least and the greatest do.
+    known = pairs.groupBy("p").agg(F.count("*").alias("n"), (F.min("l") != F.max("l")).alias("entered"), (F.min("r") != F.max("r")).alias("left"))
+    known = known.filter(F.col("n") >= spread).select("p", "entered", "left")
+    marks = pairs.select(ROW, "i", "p").join(known, "p").groupBy(ROW).agg(
+        F.collect_list("i").alias(GLUED),
+        F.collect_list(F.when(F.col("entered"), F.col("i") - 1)).alias(BEFORE),
+        F.collect_list(F.when(F.col("left"), F.col("i") + 1)).alias(AFTER),
+    )
+    df = df.join(marks, ROW, "left")
+    none = F.array().cast("array<int>")
+    single = F.array_except(F.sequence(F.lit(1), last), F.coalesce(GLUED, none))
+    ends = F.array_union(F.array_union(single, F.coalesce(BEFORE, none)), F.coalesce(AFTER, none))
+    return df.withColumn(ENDS, F.when(F.col("text").isNotNull(), F.array_sort(F.filter(ends, lambda i: (i > 0) & (i <= last))))).drop(GLUED, BEFORE, AFTER)
 
 
 def chunks(df: DataFrame, *keep: str | Column) -> DataFrame:
@@ -51,7 +69,7 @@ def deduplicated(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
     """The documents with repeated chunks taken out of `text`, plus __llm_cut: the (s, e) line spans taken out."""
     others = [c for c in docs.columns if c != "text"]
     rows = docs.withColumn(ROW, F.monotonically_increasing_id())
-    found = chunks(cut(rows.select(ROW, "doc_id", "text"), spread), ROW, "doc_id")
+    found = checkpointed(chunks(cut(rows.select(ROW, "doc_id", "text"), spread), ROW, "doc_id"))
     place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", ROW, "s", "e")
     often = found.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1")
     often = checkpointed(often.select("h", F.col(f"first.{ROW}").alias("first_row"), F.col("first.s").alias("first_s"), F.col("first.e").alias("first_e")))

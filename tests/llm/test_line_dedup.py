@@ -81,3 +81,16 @@ def test_equal_hashes_of_different_bytes_stay(spark, monkeypatch):
 def test_query_and_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert queries.op4_line_dedup(spark, str(tmp_path)).collect() == []
+
+
+def test_embedded_passages_of_few_lines_go(spark):
+    rng = random.Random(9)
+    passages = [["" if i == 1 and n > 2 else f"passage {k} {i}" for i in range(n)] for k, n in enumerate([2, 3, 4, 5] * 10)]
+    own = lambda i, n: [f"own {i} {rng.random()}" for _ in range(n)]
+    docs, want = [], {}
+    for i in range(2 * len(passages)):
+        before, after = own(i, rng.randrange(1, 6)), own(i, rng.randrange(1, 6))
+        docs.append((i, "\n".join([*before, *passages[i % len(passages)], *after])))
+        want[i] = docs[-1][1] if i < len(passages) else "\n".join(before + after)
+    got = {r.doc_id: r.text for r in line_dedup.deduplicated(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == want
