@@ -3,8 +3,9 @@
 A seed is the hash of the words that a fixed mask keeps out of a short span; the words between are
 ignored, so a seed survives their substitution. Seeds of the benchmark items are joined with the seeds at
 every word of every document. Around each hit the item is laid over the document without gaps, and the
-overlap is verified word by word: the best stretch, at +1 a match and -4 a substitution (so 80 % or more
-match), must have `LEAST` matching words.
+overlap is verified word by word: of the stretches with `SHARE` = 80 % or more equal words, wherever in them the
+substitutions lie, the one with the most matching words must have `LEAST`. All matching words of the item at that
+place are reported.
 
 The four masks keep five words each. Over 15 words with any 3 substituted at least one of them still hits
 (checked over all 455 placements in the tests).
@@ -30,7 +31,9 @@ from ledgerloom.llm.common import frugal
 
 #: The places of the five words that each mask keeps.
 MASKS = ((0, 2, 4, 5, 6), (0, 2, 3, 4, 9), (0, 1, 3, 4, 7), (0, 2, 6, 8, 9))
-LEAST, MISMATCH = 12, -4
+LEAST = 12
+#: Of five words of a stretch four are equal. In the words reported a match counts 1 and a substitution MISMATCH: the share is tested by itself.
+SHARE, MISMATCH = (4, 5), 0
 FACTORS = np.random.default_rng(3).integers(0, 1 << 63, (len(MASKS), 5), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -86,15 +89,28 @@ class Items:
         return np.unique(found, axis=0) if len(found) else found
 
     def verify(self, hashes: np.ndarray, lo: int, hi: int, item: int, at: int) -> tuple[int, int, int]:
-        """Of the item laid at word `at` over the words lo to hi: matching words, length and start of the best stretch."""
+        """Of the item laid at word `at` over the words lo to hi: its matching words, and length and start of the span from
+        the first to the last of them; zeros where no stretch of the overlap has both SHARE and LEAST."""
         own = self.hashes[self.first[item] : self.first[item + 1]]
         a, b = max(lo, at), min(hi, at + len(own))
         equal = hashes[a:b] == own[a - at : b - at]
-        sums = np.r_[0, np.cumsum(np.where(equal, 1, MISMATCH))]
-        gain = sums - np.minimum.accumulate(sums)
-        end = int(np.argmax(gain))
-        start = end - int(np.argmin(sums[: end + 1][::-1]))
-        return int(equal[start:end].sum()), end - start, a + start - lo
+        start, end = widest(equal)
+        if np.count_nonzero(equal[start:end]) < LEAST:
+            return 0, 0, 0
+        places = np.flatnonzero(equal)
+        return int(np.where(equal, 1, MISMATCH).sum()), int(places[-1] - places[0]) + 1, a + int(places[0]) - lo
+
+
+def widest(equal: np.ndarray) -> tuple[int, int]:
+    """Start and end of a stretch with SHARE or more equal words that has the most of them."""
+    # `over` is no less at the end of such a stretch than at its start. For each start the last such end is the last place
+    # from which on the greatest value is not below that at the start.
+    over = np.r_[0, np.cumsum(np.where(equal, SHARE[1] - SHARE[0], -SHARE[0]))]
+    later = np.maximum.accumulate(over[::-1])[::-1]
+    ends = np.searchsorted(-later, -over, "right") - 1
+    count = np.r_[0, np.cumsum(equal)]
+    start = int(np.argmax(count[ends] - count))
+    return start, int(ends[start])
 
 
 def matches(items: Items, batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, int, int]]:
@@ -122,7 +138,8 @@ def parts(benchmark: DataFrame, max_seeds: int) -> Iterator[list]:
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, max_seeds: int = 4_000_000) -> DataFrame:
-    """A row for each document and item that overlap: doc_id, item_id, matched and words (of the best stretch), first_word."""
+    """A row for each document and item that overlap: doc_id, item_id, matched, words and first_word (the item's matching words
+    where it has most of them, and the span that they take up)."""
     doc_kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {doc_kind}, item_id {item_kind}, matched bigint, words bigint, first_word bigint"
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))

@@ -2,6 +2,8 @@ import itertools
 import random
 import re
 
+import numpy as np
+
 from ledgerloom.llm import decontaminate, queries
 
 
@@ -81,3 +83,34 @@ def test_empty_tables(spark):
     d, b = spark.createDataFrame([], "doc_id bigint, text string"), spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.overlaps(d, b).collect() == []
     assert decontaminate.decontaminated(d, b).collect() == []
+
+
+def test_items_with_a_fifth_of_their_words_substituted_are_found(spark):
+    rng = random.Random(4)
+    items = [(k, " ".join(f"i{k}w{q}" for q in range(n))) for k, n in enumerate([15, 16, 19, 20, 25, 33, 40, 60] * 5)]
+    docs = []
+    for k, text in items:
+        n = len(text.split())
+        last = rng.randrange(5)
+        patterns = [range(last, n, 5), [1, 2, n - 2][: n // 5], rng.sample(range(n), n // 5), rng.sample(range(n), n // 5)]
+        for gone in patterns:
+            gone = list(gone)[: n // 5]
+            passage = ["changed" if q in gone else w for q, w in enumerate(text.split())]
+            docs.append((len(docs), k, " ".join(["own"] * 7 + passage + ["words"] * 9)))
+    # Below 80 % everywhere: every third word substituted.
+    for k, text in items:
+        docs.append((len(docs), None, " ".join("changed" if q % 3 == 2 else w for q, w in enumerate(text.split()))))
+    found = decontaminate.overlaps(spark.createDataFrame([(i, t) for i, _, t in docs], "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    got = {(r.doc_id, r.item_id) for r in found.collect()}
+    assert got == {(i, k) for i, k, _ in docs if k is not None}
+
+
+def test_the_widest_stretch_is_that_of_brute_force():
+    rng = random.Random(3)
+    for _ in range(300):
+        n = rng.randrange(15, 40)
+        gone = set(rng.sample(range(n), rng.randrange(0, n // 2)))
+        equal = [q not in gone for q in range(n)]
+        want = max(sum(equal[i:j]) for i in range(n) for j in range(i, n + 1) if 5 * sum(equal[i:j]) >= 4 * (j - i))
+        i, j = decontaminate.widest(np.array(equal))
+        assert sum(equal[i:j]) == want and 5 * want >= 4 * (j - i)
