@@ -1,9 +1,11 @@
 """Quality classifier: document evidence combined with site posteriors by hierarchical empirical Bayes.
 
-1. Training, on at most `max_labelled` = 10,000 labelled documents (those with the least hash of doc_id and
-   label, so the choice does not depend on the order of rows): for each of the two faults, low quality and
-   toxic, the words that are significantly more frequent in faulty documents are weighed, and a logistic
-   regression combines the sum of their weights with measures of form (share of symbols, digits and
+1. Training, on at most `max_labelled` = 10,000 labelled documents. Each language and pair of labels is a stratum
+   and small strata are taken whole; of the others those with the least hash of doc_id and label are taken, so the
+   choice does not depend on the order of rows, and they count for more in the regression. For each of the two
+   faults, low quality and toxic, the words that are significantly more frequent in faulty documents (exact binomial
+   tail, false discovery rate `FALSE_WORDS`, so that few labels suffice) are weighed, and a logistic regression
+   combines the sum of their weights with measures of form (share of symbols, digits and
    capitals, repeated words, word length and so on). The model is a few small arrays.
 2. Evidence: every document, whole, gets a log-odds score for each fault.
 3. Sites: scores are aggregated over all documents by host (`source`) and by path (`source` and `lang`).
@@ -33,9 +35,9 @@ from ledgerloom.llm.common import checkpointed, frugal
 
 FAULTS = ("low", "toxic")
 BITS = 18
-#: A word is weighed where faulty documents have it so many standard errors more often, and so many have it.
-SIGNIFICANCE, SUPPORT = 8.0, 10
-MAX_LABELLED, MAX_SITES = 10_000, 100_000
+#: Of the words weighed so many may have come by chance.
+FALSE_WORDS = 0.1
+MAX_LABELLED, MAX_SITES, MAX_STRATA = 10_000, 100_000, 1_000
 #: How many documents' worth a score may say, and how far a site may shift a document, in log-odds.
 LIMIT = 12.0
 
@@ -113,29 +115,49 @@ class Model:
         return np.stack(out, axis=1)
 
 
-def regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40) -> np.ndarray:
+def regression(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 40) -> np.ndarray:
     """Ridge logistic regression by Newton steps; the intercept is last and not shrunk."""
     x = np.column_stack([x, np.ones(len(x))])
     w, shrink = np.zeros(x.shape[1]), np.diag([*[ridge] * (x.shape[1] - 1), 1e-6])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + shrink
-        step = np.linalg.solve(h, x.T @ (y - p) - shrink @ w)
+        h = (x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + shrink
+        step = np.linalg.solve(h, x.T @ (weight * (y - p)) - shrink @ w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
+def tails(a: np.ndarray, n: np.ndarray, share: float) -> np.ndarray:
+    """Binomial probability of a or more of n, by the share of one."""
+    pairs, back = np.unique(np.stack([a, n]), axis=1, return_inverse=True)
+    logs = np.r_[0.0, np.cumsum(np.log(np.arange(1, n.max(initial=0) + 1)))]
+    out = np.ones(pairs.shape[1])
+    for q, (i, m) in enumerate(pairs.T.tolist()):
+        k = np.arange(i, m + 1)
+        out[q] = np.exp(logs[m] - logs[k] - logs[m - k] + k * np.log(share) + (m - k) * np.log1p(-share)).sum()
+    return np.minimum(out, 1.0)[back.reshape(-1)]
+
+
 def word_weights(row: np.ndarray, bucket: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Log ratios of how often faulty and other documents have a word, where the difference is significant, else 0."""
     n1, n0 = max(1, int(y.sum())), max(1, int((~y).sum()))
     a = np.bincount(bucket[y[row]], minlength=1 << BITS)
     b = np.bincount(bucket[~y[row]], minlength=1 << BITS)
-    p = (a + b) / (n1 + n0)
-    z = (a / n1 - b / n0) / np.sqrt(np.maximum(p * (1 - p) * (1 / n1 + 1 / n0), 1e-12))
     ratio = np.log((a + 0.1) / (n1 + 0.2)) - np.log((b + 0.1) / (n0 + 0.2))
-    return np.where((z > SIGNIFICANCE) & (a >= SUPPORT) & (ratio > np.log(4)), np.clip(ratio, 0, 6), 0.0)
+    share = n1 / (n1 + n0)
+    # Words too rare to be significant whoever has them are no tests; the others are held to the false discovery rate.
+    tested = (a + b > 1) & ((a + b) * np.log(share) <= np.log(FALSE_WORDS))
+    some = np.flatnonzero(tested & (ratio > np.log(4)))
+    chance = tails(a[some], (a + b)[some], share)
+    ranked = np.sort(chance)
+    passed = np.flatnonzero(ranked <= FALSE_WORDS * np.arange(1, len(ranked) + 1) / max(1, int(tested.sum())))
+    out = np.zeros(1 << BITS)
+    if len(passed):
+        chosen = some[chance <= ranked[passed[-1]]]
+        out[chosen] = np.clip(ratio[chosen], 0, 6)
+    return out
 
 
 def one_of_each(texts: list[bytes]) -> np.ndarray:
@@ -154,9 +176,10 @@ def one_of_each(texts: list[bytes]) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
-def fit(texts: list[bytes], faults: np.ndarray) -> Model:
-    """faults: a row each text, a boolean for each of FAULTS."""
+def fit(texts: list[bytes], faults: np.ndarray, weight: np.ndarray | None = None) -> Model:
+    """faults: a row each text, a boolean for each of FAULTS; weight: how many documents each text stands for."""
     kept = one_of_each(texts)
+    weight = np.ones(len(kept)) if weight is None else weight[kept]
     texts, faults = [texts[i] for i in kept], faults[kept]
     parts, at = [], 0
     offsets = np.cumsum([0, *map(len, texts)])
@@ -172,22 +195,43 @@ def fit(texts: list[bytes], faults: np.ndarray) -> Model:
         model.weights[k] = word_weights(row, bucket, y)
         x = model.inputs(form, row, bucket, k)
         model.mean[k], model.scale[k] = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
-        model.coefficients[k] = regression(np.clip((x - model.mean[k]) / model.scale[k], -6, 6), y.astype(float))
+        model.coefficients[k] = regression(np.clip((x - model.mean[k]) / model.scale[k], -6, 6), y.astype(float), weight)
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model | None:
-    chosen = labels.filter("doc_id is not null and quality is not null and toxic is not null").select("doc_id", "quality", "toxic")
-    chosen = chosen.orderBy(F.xxhash64("doc_id", "quality", "toxic"), "doc_id", "quality", "toxic").limit(max_labelled)
+def rates(counts: list[int], most: int) -> list[float]:
+    """The share of each stratum to take: all of the small ones, and the same number from each of the others."""
+    left, rest = float(most), len(counts)
+    for n in sorted(counts):
+        if n * rest > left:
+            return [min(1.0, left / rest / c) for c in counts]
+        left, rest = left - n, rest - 1
+    return [1.0] * len(counts)
+
+
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, path: str = "lang") -> Model | None:
+    known = labels.filter("doc_id is not null and quality is not null and toxic is not null").select("doc_id", "quality", "toxic")
+    kind = F.coalesce(F.col(path).cast("string"), F.lit(""))
+    known = docs.select("doc_id", kind.alias("kind")).join(known, "doc_id").groupBy("doc_id", "quality", "toxic").agg(F.min("kind").alias("kind"))
+    # Bounded by MAX_STRATA, the largest first.
+    sizes = known.groupBy("kind", "quality", "toxic").count().orderBy(F.desc("count"), "kind", "quality", "toxic").limit(MAX_STRATA).collect()
+    if not sizes:
+        return None
+    share = dict(zip([(r.kind, r.quality, r.toxic) for r in sizes], rates([r["count"] for r in sizes], max_labelled), strict=True))
+    strata = docs.sparkSession.createDataFrame([(*k, v) for k, v in share.items()], known.select("kind", "quality", "toxic", F.lit(1.0).alias("rate")).schema)
+    mark = F.pmod(F.xxhash64("doc_id", "quality", "toxic"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chosen = known.join(F.broadcast(strata), ["kind", "quality", "toxic"]).withColumn("mark", mark / F.col("rate")).filter("mark < 1")
+    chosen = chosen.orderBy("mark", "doc_id", "quality", "toxic").limit(max_labelled).select("doc_id", "quality", "toxic", "rate")
     # At most max_labelled ids and labels: small enough to broadcast whatever the size of the tables. A document id
     # that comes with several rows counts once.
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = rows.groupBy("doc_id", "quality", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id", "quality", "toxic").limit(max_labelled)
-    texts, faults = [], []
+    rows = rows.groupBy("doc_id", "quality", "toxic", "rate").agg(F.min("text").alias("text")).orderBy("doc_id", "quality", "toxic").limit(max_labelled)
+    texts, faults, weight = [], [], []
     for r in rows.toLocalIterator():
         texts.append(r.text.encode())
         faults.append((r.quality == 0, r.toxic == 1))
-    return fit(texts, np.array(faults, bool)) if texts else None
+        weight.append(1 / r.rate)
+    return fit(texts, np.array(faults, bool), np.array(weight)) if texts else None
 
 
 def _scorer(model: Model) -> Callable:
@@ -241,7 +285,7 @@ def site_shifts(evidence: DataFrame) -> DataFrame:
 
 def classified(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5, max_sites: int = MAX_SITES, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """The documents with __llm_p_low, __llm_p_toxic (posterior probabilities) and __llm_keep."""
-    model = train(docs, labels, max_labelled)
+    model = train(docs, labels, max_labelled, path)
     if model is None:
         return docs.withColumns({"__llm_p_low": F.lit(0.0), "__llm_p_toxic": F.lit(0.0), "__llm_keep": F.lit(True)})
     where = {"host": F.coalesce(F.col(host).cast("string"), F.lit("")), "path": F.concat_ws("/", F.coalesce(F.col(host).cast("string"), F.lit("")), F.coalesce(F.col(path).cast("string"), F.lit("")))}

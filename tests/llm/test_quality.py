@@ -60,3 +60,35 @@ def test_features_of_a_text_do_not_depend_on_its_neighbours():
     for i, t in enumerate(texts):
         alone, _, own = quality.features(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
         assert np.allclose(alone[0], form[i]) and sorted(own) == sorted(bucket[row == i])
+
+
+def test_toxic_words_of_a_small_language_are_found():
+    rng = np.random.default_rng(5)
+    pick = lambda stem, n, k: [f"{stem}{i}" for i in rng.choice(n, k, replace=False)]
+    texts, kinds = [], []
+    for kind, n in (("en", 1500), ("en toxic", 150), ("xx", 150), ("xx toxic", 60)):
+        for _ in range(n):
+            lang, _, toxic = kind.partition(" ")
+            body = [*pick(lang, 400, 40), *(pick(lang + "bad", 60, 6) if toxic else [])]
+            texts.append(" ".join(rng.permutation(body)).encode())
+            kinds.append(kind)
+    kinds = np.array(kinds)
+    train = np.arange(len(kinds)) % 2 == 0
+    model = quality.fit([t for t, x in zip(texts, train) if x], np.array([(False, "toxic" in k) for k in kinds[train]]))
+    offsets = np.cumsum([0, *map(len, texts)])
+    toxic = model.scores(np.frombuffer(b"".join(texts), np.uint8), offsets)[:, 1] > 0
+    for kind in ("en toxic", "xx toxic"):
+        assert toxic[~train & (kinds == kind)].mean() > 0.8
+    assert toxic[~train & np.isin(kinds, ["en", "xx"])].mean() < 0.02
+
+
+def test_small_strata_are_sampled_whole(spark, monkeypatch):
+    assert quality.rates([5, 1000, 10, 500], 115) == [1.0, 0.05, 1.0, 0.1] and quality.rates([3, 4], 10) == [1.0, 1.0]
+    rows = [(i, f"en {i}", "en", 1, 0) for i in range(1000)] + [(1000 + i, f"xx {i}", "xx", 1, i % 2) for i in range(20)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(r[0], *r[3:]) for r in rows], "doc_id bigint, quality int, toxic int")
+    monkeypatch.setattr(quality, "fit", lambda texts, faults, weight: (texts, weight))
+    texts, weight = quality.train(docs, labels, 120)
+    small = np.array([t.startswith(b"xx") for t in texts])
+    assert small.sum() == 20 and 60 < (~small).sum() <= 100
+    assert set(weight[small]) == {1.0} and set(weight[~small]) == {10.0}
