@@ -82,6 +82,18 @@ def parse(df: DataFrame, formatted: str, into: str) -> DataFrame:
     return df.withColumn(into, F.when(valid, F.transform(bodies, parse_body))).drop(pieces, marks)
 
 
+def masked_text(formatted: str, mask: str) -> Column:
+    """The text under the loss mask of a formatted string, unescaped. The runs are cut out of the string's code points, four
+    bytes each, so that a cut does not count from the start; each takes the character before it along, as a text that
+    starts with a byte order mark would lose it in decoding."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,chars:int>>").alias("runs"))
+    here = lambda a, x: F.when(x["loss"], F.array(F.struct(a["at"].alias("at"), x["chars"].alias("chars")))).otherwise(F.array().cast("array<struct<at:int,chars:int>>"))
+    runs = F.aggregate(mask, start, lambda a, x: F.struct((a["at"] + x["chars"]).alias("at"), F.concat(a["runs"], here(a, x)).alias("runs")), lambda a: a["runs"])
+    points = F.encode(F.concat(F.lit("\n"), F.col(formatted)), "UTF-32")
+    cut = lambda r: F.substring(F.decode(F.substring(points, 4 * r["at"] + 1, 4 * r["chars"] + 4), "UTF-32"), F.lit(2), r["chars"])
+    return F.array_join(F.transform(runs, lambda r: unescape_text(cut(r))), "")
+
+
 def format_conversations(rows: DataFrame) -> DataFrame:
     """One row a conversation: conv_id, formatted, escaped, turns (as read back from formatted) and mask.
 

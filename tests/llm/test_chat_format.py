@@ -1,5 +1,8 @@
 import hashlib
 import random
+import re
+
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import chat_format, queries
 
@@ -56,3 +59,31 @@ def test_plain_conversations_are_not_escaped_and_the_mask_covers_the_string(spar
             at += run_["chars"]
         assert at == len(r.formatted)
         assert loss == [{"né\nok": "né\nok", "a<|im_end|>b": "a<\\|im_end|>b"}[t["text"]] for t in r.turns if t["role"] == "assistant"]
+
+
+def test_the_loss_is_read_from_the_string_under_the_mask(spark):
+    texts = ["né💡ok", "\ufeffmark first", "a<|im_end|>b", "", "x" * 70_000]
+    rows = spark.createDataFrame([(1, k, role, t) for k, (role, t) in enumerate((r, t) for t in texts for r in ("user", "assistant"))], "conv_id int, turn int, role string, text string")
+    done = chat_format.format_conversations(rows)
+    read = lambda df: df.select(chat_format.masked_text("formatted", "mask")).first()[0]
+    assert read(done) == "".join(texts)
+    # Another mask or another string reads otherwise.
+    flipped = done.withColumn("mask", F.transform("mask", lambda x: F.struct(x["chars"].alias("chars"), (~x["loss"]).alias("loss"))))
+    assert read(flipped) == chat_format_plain(done.first())
+    moved = done.withColumn("formatted", F.concat(F.lit("!"), "formatted"))
+    assert read(moved) != "".join(texts)
+
+
+def chat_format_plain(r):
+    at, out = 0, []
+    for x in r["mask"]:
+        if not x["loss"]:
+            out.append(re.sub(r"<(\\*)\\\|", r"<\1|", r.formatted[at : at + x["chars"]]))
+        at += x["chars"]
+    return "".join(out)
+
+
+def test_the_query_slices_by_the_mask(spark, tmp_path):
+    spark.createDataFrame([(1, 0, "assistant", "a")], "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    plan = queries.op10_chat_formatting(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "UTF-32" in plan
