@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,6 +12,7 @@ from functools import wraps
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import xxhash64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +33,15 @@ def whole_text(column: str = "text") -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares: spark.checkpoint.dir, or in a session without it one of our own."""
+    """The folder that the cluster shares: spark.checkpoint.dir. Only a local session without it gets one of its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not re.match(r"local(\[|$)", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
@@ -44,9 +51,31 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def hidden(*names: str) -> list[str]:
-    """Working column names that do not clash with columns a caller brings along."""
-    return [f"__llm_{n}" for n in names]
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for working columns that df lacks, whatever columns a caller brings along."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"__llm_{name}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def unclaimed(df: DataFrame, *names: str | None) -> None:
+    """Refuse result columns that the input already has."""
+    taken = {c.lower() for c in df.columns}
+    if clash := [n for n in names if n is not None and n.lower() in taken]:
+        raise ValueError(f"the input already has the columns {clash}; choose other names for the results")
+
+
+def numbered(docs: DataFrame, name: str, is_table: bool = False) -> DataFrame:
+    """docs with the column `name`, which tells rows apart and stays the same however often and wherever a row is read:
+    the file of the row and its place there. docs is stored first, unless it is known to be read from Parquet files as they are."""
+    docs = docs if is_table else stored(docs)
+    file = docs.metadataColumn("_metadata")
+    return docs.withColumn(name, F.struct(xxhash64(file["file_path"]).alias("file"), file["row_index"].alias("at")))
 
 
 def frugal(batches: Callable) -> Callable:

@@ -23,15 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import checkpointed, hidden
+from ledgerloom.llm.common import checkpointed, fresh, numbered, unclaimed
 
 #: Lines of a chunk at least, and over how many places a pair of lines must be spread to count as repeated.
 LEAST, SPREAD = 2, 2
-ROW, LINES, HASHES, ENDS = hidden("row", "lines", "hashes", "ends")
-GLUED, BEFORE, AFTER = hidden("glued", "before", "after")
+ROW, LINES, HASHES, ENDS, GLUED, BEFORE, AFTER, CUT = (f"__llm_{x}" for x in ("row", "lines", "hashes", "ends", "glued", "before", "after", "cut"))
 
 
-def cut(df: DataFrame, spread: int) -> DataFrame:
+def bounded(df: DataFrame, spread: int) -> DataFrame:
     """Adds LINES and ENDS (the number of lines up to the end of each chunk); df is the whole corpus, ROW its key."""
     df = df.withColumn(LINES, F.split("text", "\n", -1)).withColumn(HASHES, F.transform(LINES, lambda x: F.xxhash64(x)))
     at = lambda i: F.coalesce(F.get(F.col(HASHES), i), F.lit(0))
@@ -65,11 +64,15 @@ def lines_of(lines: str, s: Column, e: Column) -> Column:
     return F.array_join(F.slice(lines, s + 1, e - s), "\n")
 
 
-def deduplicated(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
-    """The documents with repeated chunks taken out of `text`, plus __llm_cut: the (s, e) line spans taken out."""
+def deduplicated(docs: DataFrame, spread: int = SPREAD, cut: str | None = None, is_table: bool = False) -> DataFrame:
+    """The documents with repeated chunks taken out of `text`; `cut` names a further column for the (s, e) line spans
+    taken out. is_table: docs are read from Parquet files as they are, so need not be stored to tell rows apart."""
+    unclaimed(docs, cut)
     others = [c for c in docs.columns if c != "text"]
-    rows = docs.withColumn(ROW, F.monotonically_increasing_id())
-    found = checkpointed(chunks(cut(rows.select(ROW, "doc_id", "text"), spread), ROW, "doc_id"))
+    (own,) = fresh(docs, "row")
+    whole = numbered(docs, own, is_table)
+    rows = whole.select(F.col(own).alias(ROW), "doc_id", "text")
+    found = checkpointed(chunks(bounded(rows, spread), ROW, "doc_id"))
     place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", ROW, "s", "e")
     often = found.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1")
     often = checkpointed(often.select("h", F.col(f"first.{ROW}").alias("first_row"), F.col("first.s").alias("first_s"), F.col("first.e").alias("first_e")))
@@ -85,14 +88,19 @@ def deduplicated(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
     pieces = read.select(ROW, LINES, F.explode("wanted").alias("w")).select(ROW, "w.*", lines_of(LINES, F.col("w.s"), F.col("w.e")).alias("piece"))
     firsts = pieces.filter("first").select("h", F.col("piece").alias("own"))
     equal = pieces.filter(~F.col("first")).join(firsts, "h").filter("piece = own")
-    gone = equal.groupBy(ROW).agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("__llm_cut"))
+    gone = equal.groupBy(ROW).agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias(CUT))
 
-    left = texts.join(gone, ROW, "left").withColumn("__llm_cut", F.coalesce("__llm_cut", F.array().cast("array<struct<s:int,e:int>>")))
-    left = left.withColumn(LINES, F.when(F.size("__llm_cut") > 0, F.split("text", "\n", -1)))
-    starts = F.concat(F.array(F.lit(0)), F.transform("__llm_cut", lambda x: x["e"]))
-    stops = F.concat(F.transform("__llm_cut", lambda x: x["s"]), F.array(F.size(LINES)))
+    left = texts.join(gone, ROW, "left").withColumn(CUT, F.coalesce(CUT, F.array().cast("array<struct<s:int,e:int>>")))
+    left = left.withColumn(LINES, F.when(F.size(CUT) > 0, F.split("text", "\n", -1)))
+    starts = F.concat(F.array(F.lit(0)), F.transform(CUT, lambda x: x["e"]))
+    stops = F.concat(F.transform(CUT, lambda x: x["s"]), F.array(F.size(LINES)))
     kept = F.flatten(F.zip_with(starts, stops, lambda a, b: F.slice(LINES, a + 1, b - a)))
-    left = left.select(ROW, F.when(F.col(LINES).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"), "__llm_cut")
+    left = left.select(ROW, F.when(F.col(LINES).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"), CUT)
+    spans = [F.col(CUT).alias(cut)] if cut else []
+    left = left.select(F.col(ROW).alias(own), "text", F.col(CUT))
     if not others:
-        return left.drop(ROW)
-    return rows.select(ROW, *others).join(left, ROW).select(*docs.columns, "__llm_cut")
+        return left.select("text", *spans)
+    # The others' names may be anything: the join sees them inside one struct.
+    rest = whole.select(own, F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest"))
+    done = rest.join(left, own)
+    return done.select(*[F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns], *spans)

@@ -1,13 +1,13 @@
 """Quality classifier: document evidence combined with site posteriors by hierarchical empirical Bayes.
 
-1. Training, on at most `max_labelled` = 10,000 labelled documents. Each language and pair of labels is a stratum
+1. Training, on at most `max_labelled` = 10,000 labelled documents. Executors measure their texts; the driver gets numbers only. Each language and pair of labels is a stratum
    and small strata are taken whole; of the others those with the least hash of doc_id and label are taken, so the
    choice does not depend on the order of rows, and they count for more in the regression. For each of the two
    faults, low quality and toxic, the words that are significantly more frequent in faulty documents (exact binomial
    tail, false discovery rate `FALSE_WORDS`, so that few labels suffice) are weighed, and a logistic regression
    combines the sum of their weights with measures of form (share of symbols, digits and
    capitals, repeated words, word length and so on). The model is a few small arrays.
-2. Evidence: every document, whole, gets a log-odds score for each fault.
+2. Evidence: every document, whole, gets a log-odds score for each fault, once; the scores are stored.
 3. Sites: scores are aggregated over all documents by host (`source`) and by path (`source` and `lang`).
    A host's rate of faults is shrunk toward the global rate, a path's toward its host's, each by a prior
    weight from the variance between sites (method of moments), so sparse sites say little.
@@ -16,7 +16,8 @@
 
 Edge cases: null text is empty, which has its own feature; null or missing hosts and paths are sites of
 their own; without labels nothing is known and every document is kept; repeated rows are scored alike; an
-empty table gives an empty result; further columns are kept.
+empty table gives an empty result; further columns are kept, whatever their names, and results are refused under a
+name that the input has; a text of any length is one text.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm.bytehash import chunks, texts_of, words
-from ledgerloom.llm.common import checkpointed, frugal
+from ledgerloom.llm.common import fresh, frugal, stored, unclaimed
 
 FAULTS = ("low", "toxic")
 BITS = 18
@@ -160,34 +161,34 @@ def word_weights(row: np.ndarray, bucket: np.ndarray, y: np.ndarray) -> np.ndarr
     return out
 
 
-def one_of_each(texts: list[bytes]) -> np.ndarray:
-    """The places of texts that share neither of two min-hashes over 4-word shingles with one before: copies would count as many."""
-    marks: list[set] = [set(), set()]
+def min_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Two min-hashes over the 4-word shingles of each text."""
+    hashes, own = words(data, offsets)
+    first = np.searchsorted(own, np.arange(len(offsets)))
+    out = np.zeros((len(offsets) - 1, 2), np.uint64)
+    for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+        n = max(1, b - a - 3)
+        runs = sum((hashes[a + k : a + k + n] * np.uint64(2 * k + 3) for k in range(min(4, b - a))), np.zeros(n if b > a else 1, np.uint64))
+        out[i] = [((runs ^ (runs >> np.uint64(27))) * np.uint64(f)).min() for f in (0x9E3779B97F4A7C15, 0x94D049BB133111EB)]
+    return out
+
+
+def one_of_each(marks: np.ndarray) -> np.ndarray:
+    """The places of texts that share neither of their two marks with one before: copies would count as many."""
+    seen: list[set] = [set(), set()]
     kept = []
-    for i, text in enumerate(texts):
-        hashes, _ = words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-        n = max(1, len(hashes) - 3)
-        runs = sum((hashes[k : k + n] * np.uint64(2 * k + 3) for k in range(min(4, len(hashes)))), np.zeros(n if len(hashes) else 1, np.uint64))
-        low = [int(((runs ^ (runs >> np.uint64(27))) * np.uint64(f)).min()) for f in (0x9E3779B97F4A7C15, 0x94D049BB133111EB)]
-        if all(x not in m for x, m in zip(low, marks, strict=True)):
+    for i, low in enumerate(marks.tolist()):
+        if all(x not in m for x, m in zip(low, seen, strict=True)):
             kept.append(i)
-        for x, m in zip(low, marks, strict=True):
+        for x, m in zip(low, seen, strict=True):
             m.add(x)
     return np.array(kept, np.int64)
 
 
-def fit(texts: list[bytes], faults: np.ndarray, weight: np.ndarray | None = None) -> Model:
-    """faults: a row each text, a boolean for each of FAULTS; weight: how many documents each text stands for."""
-    kept = one_of_each(texts)
-    weight = np.ones(len(kept)) if weight is None else weight[kept]
-    texts, faults = [texts[i] for i in kept], faults[kept]
-    parts, at = [], 0
-    offsets = np.cumsum([0, *map(len, texts)])
-    for i, j in chunks(offsets):
-        form, row, bucket = features(np.frombuffer(b"".join(texts[i:j]), np.uint8), offsets[i : j + 1] - offsets[i])
-        parts.append((form, row + at, bucket))
-        at += j - i
-    form, row, bucket = (np.concatenate(p) for p in zip(*parts, strict=True))
+def fit(form: np.ndarray, row: np.ndarray, bucket: np.ndarray, faults: np.ndarray, weight: np.ndarray | None = None) -> Model:
+    """form, row and bucket as `features` gives them; faults: a row each text, a boolean for each of FAULTS; weight: how many
+    documents each text stands for."""
+    weight = np.ones(len(form)) if weight is None else weight
     dims = N_FORM + 1
     model = Model(np.zeros((2, 1 << BITS)), np.zeros((2, dims)), np.ones((2, dims)), np.zeros((2, dims + 1)))
     for k in range(len(FAULTS)):
@@ -209,7 +210,28 @@ def rates(counts: list[int], most: int) -> list[float]:
     return [1.0] * len(counts)
 
 
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per text its measures of form, distinct word buckets and min-hash marks, instead of the text."""
+    for batch in batches:
+        data, offsets = texts_of(batch)
+        for i, j in chunks(offsets):
+            part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            form, row, bucket = features(part, own)
+            marks = min_hashes(part, own)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(c).slice(i, j - i) for c in ("doc_id", "quality", "toxic", "rate")),
+                    pa.FixedSizeListArray.from_arrays(pa.array(form.reshape(-1)), N_FORM).cast(pa.list_(pa.float64())),
+                    pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32)), pa.array(bucket.astype(np.int32))),
+                    pa.array(marks[:, 0].view(np.int64)),
+                    pa.array(marks[:, 1].view(np.int64)),
+                ],
+                ["doc_id", "quality", "toxic", "rate", "form", "buckets", "m1", "m2"],
+            )
+
+
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, path: str = "lang") -> Model | None:
+    """The driver gets measures of at most max_labelled texts: N_FORM numbers and at most 2^BITS word buckets (1 MB) each, no texts."""
     known = labels.filter("doc_id is not null and quality is not null and toxic is not null").select("doc_id", "quality", "toxic")
     kind = F.coalesce(F.col(path).cast("string"), F.lit(""))
     known = docs.select("doc_id", kind.alias("kind")).join(known, "doc_id").groupBy("doc_id", "quality", "toxic").agg(F.min("kind").alias("kind"))
@@ -225,44 +247,54 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     # At most max_labelled ids and labels: small enough to broadcast whatever the size of the tables. A document id
     # that comes with several rows counts once.
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = rows.groupBy("doc_id", "quality", "toxic", "rate").agg(F.min("text").alias("text")).orderBy("doc_id", "quality", "toxic").limit(max_labelled)
-    texts, faults, weight = [], [], []
-    for r in rows.toLocalIterator():
-        texts.append(r.text.encode())
-        faults.append((r.quality == 0, r.toxic == 1))
-        weight.append(1 / r.rate)
-    return fit(texts, np.array(faults, bool), np.array(weight)) if texts else None
+    rows = rows.groupBy("doc_id", "quality", "toxic", "rate").agg(F.min("text").cast("binary").alias("text"))
+    id_kind, label_kinds = docs.schema["doc_id"].dataType.simpleString(), [labels.schema[c].dataType.simpleString() for c in ("quality", "toxic")]
+    schema = f"doc_id {id_kind}, quality {label_kinds[0]}, toxic {label_kinds[1]}, rate double, form array<double>, buckets array<int>, m1 bigint, m2 bigint"
+    rows = rows.mapInArrow(frugal(_measured), schema).orderBy("doc_id", "quality", "toxic").limit(max_labelled)
+    got = [(r.form, np.asarray(r.buckets, np.int32), r.m1, r.m2, r.quality == 0, r.toxic == 1, 1 / r.rate) for r in rows.toLocalIterator()]
+    if not got:
+        return None
+    form, buckets, m1, m2, low, toxic, weight = zip(*got, strict=True)
+    kept = one_of_each(np.stack([m1, m2], axis=1))
+    row = np.repeat(np.arange(len(kept)), [len(buckets[i]) for i in kept])
+    return fit(np.array(form)[kept], row, np.concatenate([buckets[i] for i in kept]).astype(np.int64), np.stack([low, toxic], axis=1)[kept], np.array(weight)[kept])
 
 
-def _scorer(model: Model) -> Callable:
+def _scorer(model: Model, carry: list[str], names: list[str]) -> Callable:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column("text").cast(pa.binary()).fill_null(b"")
+            text = batch.column(len(carry)).cast(pa.binary()).fill_null(b"")
             data, offsets = texts_of(pa.RecordBatch.from_arrays([text], ["text"]))
             found = [model.scores(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in chunks(offsets)]
             found = np.concatenate(found) if found else np.zeros((0, 2))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found[:, 0]), pa.array(found[:, 1])], [*batch.schema.names, "__llm_low", "__llm_toxic"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(found[:, 0]), pa.array(found[:, 1])], [*carry, *names])
 
     return score
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents with __llm_low and __llm_toxic, the log-odds of the faults by their texts alone."""
-    added = [T.StructField(name, T.DoubleType()) for name in ("__llm_low", "__llm_toxic")]
-    return docs.mapInArrow(frugal(_scorer(model)), T.StructType([*docs.schema.fields, *added]))
+def scored(docs: DataFrame, model: Model, carry: list[str], names: tuple[str, str] = ("low", "toxic")) -> DataFrame:
+    """The columns `carry` of docs with two more, the log-odds of the faults by their texts alone."""
+    body = docs.select(*[F.col(f"`{c}`") for c in carry], F.col("text").alias(fresh(docs, "text")[0]))
+    added = [T.StructField(name, T.DoubleType()) for name in names]
+    return body.mapInArrow(frugal(_scorer(model, carry, list(names))), T.StructType([*[docs.schema[c] for c in carry], *added]))
 
 
 def logit(p):
     return F.log(p / (1 - p))
 
 
-def site_shifts(evidence: DataFrame) -> DataFrame:
-    """For each (host, path) how far its shrunk rate of each fault lies from the global one, in log-odds, and its documents."""
+def site_sums(evidence: DataFrame) -> DataFrame:
+    """A row for each host and path of the scored documents (host, path, low, toxic): documents, and sums of the probabilities
+    of each fault and of their squares."""
     sums = []
     for k in FAULTS:
-        p = 1 / (1 + F.exp(-F.col(f"__llm_{k}")))
+        p = 1 / (1 + F.exp(-F.col(k)))
         sums += [F.sum(p).alias(f"s_{k}"), F.sum(p * p).alias(f"q_{k}")]
-    paths = evidence.groupBy("host", "path").agg(F.count("*").alias("n"), *sums)
+    return evidence.groupBy("host", "path").agg(F.count("*").alias("n"), *sums)
+
+
+def site_shifts(paths: DataFrame) -> DataFrame:
+    """For each (host, path) how far its shrunk rate of each fault lies from the global one, in log-odds, and its documents."""
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), *[F.sum(f"{a}_{k}").alias(f"h{a}_{k}") for k in FAULTS for a in "sq"])
     # One row: global rates, and the weight of the prior by the spread of host rates beyond that of documents.
     spread = []
@@ -283,20 +315,36 @@ def site_shifts(evidence: DataFrame) -> DataFrame:
     return out.select("host", "path", "n", *[f"shift_{k}" for k in FAULTS])
 
 
-def classified(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5, max_sites: int = MAX_SITES, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """The documents with __llm_p_low, __llm_p_toxic (posterior probabilities) and __llm_keep."""
+def _decided(docs: DataFrame, labels: DataFrame, carry: list[str], names: list[str], host: str, path: str, threshold: float, max_sites: int, max_labelled: int) -> DataFrame:
+    """The columns `carry` of docs, and under three names the probabilities of the faults and whether the document is kept."""
     model = train(docs, labels, max_labelled, path)
     if model is None:
-        return docs.withColumns({"__llm_p_low": F.lit(0.0), "__llm_p_toxic": F.lit(0.0), "__llm_keep": F.lit(True)})
-    where = {"host": F.coalesce(F.col(host).cast("string"), F.lit("")), "path": F.concat_ws("/", F.coalesce(F.col(host).cast("string"), F.lit("")), F.coalesce(F.col(path).cast("string"), F.lit("")))}
-    evidence = scored(docs.select(where["host"].alias("host"), where["path"].alias("path"), "text"), model).drop("text")
-    shifts = site_shifts(evidence)
-    shifts = shifts.select(F.col("path").alias("__llm_path"), F.col("host").alias("__llm_host"), *[F.col(f"shift_{k}").alias(f"__llm_shift_{k}") for k in FAULTS])
-    shifts = checkpointed(shifts)
-    rows = scored(docs, model)
-    side = F.broadcast(shifts) if shifts.count() <= max_sites else shifts
-    rows = rows.withColumns({"__llm_host": where["host"], "__llm_path": where["path"]}).join(side, ["__llm_host", "__llm_path"], "left")
-    for k in FAULTS:
-        rows = rows.withColumn(f"__llm_p_{k}", 1 / (1 + F.exp(-(F.col(f"__llm_{k}") + F.coalesce(f"__llm_shift_{k}", F.lit(0.0))))))
-    rows = rows.withColumn("__llm_keep", (F.col("__llm_p_low") <= threshold) & (F.col("__llm_p_toxic") <= threshold))
-    return rows.select(*docs.columns, "__llm_p_low", "__llm_p_toxic", "__llm_keep")
+        return docs.select(*[F.col(f"`{c}`") for c in carry], F.lit(0.0).alias(names[0]), F.lit(0.0).alias(names[1]), F.lit(True).alias(names[2]))
+    low, toxic, at_host, at_path = fresh(docs, "low", "toxic", "host", "path")
+    site = F.coalesce(F.col(host).cast("string"), F.lit(""))
+    docs = docs.withColumns({at_host: site, at_path: F.concat_ws("/", site, F.coalesce(F.col(path).cast("string"), F.lit("")))})
+    # The texts are scored once; sites and decisions both read what is stored here.
+    rows = stored(scored(docs, model, [*carry, at_host, at_path], (low, toxic)))
+    paths = stored(site_sums(rows.select(F.col(at_host).alias("host"), F.col(at_path).alias("path"), F.col(low).alias("low"), F.col(toxic).alias("toxic"))))
+    shifts = site_shifts(paths).select(F.col("host").alias(at_host), F.col("path").alias(at_path), *[F.col(f"shift_{k}").alias(f"{x}_shift") for k, x in zip(FAULTS, (low, toxic), strict=True)])
+    side = F.broadcast(shifts) if paths.count() <= max_sites else shifts
+    rows = rows.join(side, [at_host, at_path], "left")
+    p = [1 / (1 + F.exp(-(F.col(x) + F.coalesce(f"{x}_shift", F.lit(0.0))))) for x in (low, toxic)]
+    return rows.select(*[F.col(f"`{c}`") for c in carry], p[0].alias(names[0]), p[1].alias(names[1]), ((p[0] <= threshold) & (p[1] <= threshold)).alias(names[2]))
+
+
+def classified(
+    docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5, max_sites: int = MAX_SITES, max_labelled: int = MAX_LABELLED,
+    carry: list[str] | None = None, names: tuple[str, str, str] = ("p_low", "p_toxic", "keep"),
+) -> DataFrame:
+    """All documents (their columns `carry`, by default all) with three more under `names`: posterior probabilities of low
+    quality and of toxicity, and whether the document is kept."""
+    carry = docs.columns if carry is None else carry
+    unclaimed(docs.select(*[F.col(f"`{c}`") for c in carry]), *names)
+    return _decided(docs, labels, carry, list(names), host, path, threshold, max_sites, max_labelled)
+
+
+def kept(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The documents that are kept, with their columns."""
+    names = fresh(docs, "p_low", "p_toxic", "keep")
+    return classified(docs, labels, names=tuple(names), **options).filter(names[2]).select(*[F.col(f"`{c}`") for c in docs.columns])

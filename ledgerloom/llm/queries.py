@@ -29,9 +29,9 @@ def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    removed = F.aggregate("__llm_cut", F.lit(0).cast("bigint"), lambda a, x: a + x["e"] - x["s"])
-    return found.select("doc_id", F.size("__llm_cut").cast("bigint").alias("n_chunks_removed"), removed.alias("n_lines_removed"), F.sha2("text", 256).alias("kept_sha256"))
+    found = line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), cut="removed", is_table=True)
+    removed = F.aggregate("removed", F.lit(0).cast("bigint"), lambda a, x: a + x["e"] - x["s"])
+    return found.select("doc_id", F.size("removed").cast("bigint").alias("n_chunks_removed"), removed.alias("n_lines_removed"), F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,15 +49,13 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), is_table=True)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that are kept, with their posterior probabilities of either fault."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    done = quality.classified(docs, table(spark, sf_dir, "labels")).filter("__llm_keep")
-    return done.select("doc_id", "source", "lang", F.col("__llm_p_low").alias("p_low"), F.col("__llm_p_toxic").alias("p_toxic"), F.col("__llm_keep").alias("keep"))
+    """All documents, with their posterior probabilities of either fault and whether they are kept."""
+    return quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id", "source", "lang"])
 
 
 #: Added to the conversations: both texts hold the template's own control strings.
@@ -68,9 +66,8 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
     done = chat_format.format_conversations(rows.unionByName(probe))
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return done.withColumn("loss", loss).select(
+    return done.withColumn("loss", chat_format.masked_text("formatted", "mask")).select(
         "conv_id",
         F.size("turns").cast("bigint").alias("n_turns"),
         F.sha2(turns, 256).alias("turns_sha256"),

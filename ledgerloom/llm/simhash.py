@@ -6,12 +6,15 @@ fingerprints have a segment that differs in at most one bit (4 // 3 = 1). So eac
 by every segment with one bit made a wildcard: 64 variants, which meet in an equality join and are then
 verified over all bits. A pair is taken at the first variant it shares only, inside the join.
 
-Equal fingerprints are one class before the join, so large groups of copies cost one row. Components are
+Equal fingerprints are one class before the join, so large groups of copies cost one row. The texts are read and
+hashed once; what follows reads the stored fingerprints. A bucket of an index has about n / 2^20 of n distinct
+fingerprints, so 1e9 of them make some 2e13 candidate pairs, each an exclusive-or and a bit count inside the join. Components are
 found by large-star and small-star steps over the links between classes; every step is an aggregate and a
 join on the node, checkpointed, and nothing is collected but a count and a checksum.
 
 Edge cases: null or wordless text has fingerprint zero, linked like any other; a null doc_id is kept and
-counts as no smallest id; repeated rows are repeated in the result; further columns are ignored.
+counts as no smallest id; repeated rows are repeated in the result; further columns are ignored or kept, whatever their
+names; a document of any length is one text, hashed in runs of 65,536 shingles.
 """
 
 from __future__ import annotations
@@ -24,10 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import checkpointed, frugal, hidden
+from ledgerloom.llm.common import checkpointed, fresh, frugal, numbered, stored
 
 WORDS, SEED, RADIUS = 4, 42, 4
-(ROW,) = hidden("row")
 SEGMENTS = ((0, 22), (22, 43), (43, 64))
 
 
@@ -66,11 +68,11 @@ def signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def links(classes: DataFrame) -> DataFrame:
-    """The pairs (a, b), a < b, of distinct fingerprints in `classes.fp` that differ in RADIUS bits or fewer."""
+def links(classes: DataFrame, node: str = "fp") -> DataFrame:
+    """The pairs (a, b) of the nodes of distinct fingerprints in `classes.fp` that differ in RADIUS bits or fewer, each once."""
     full = (1 << 64) - 1
     variants = F.array(*[F.struct(F.lit(bit).alias("wild"), F.col("fp").bitwiseAND(F.lit(signed(sum(1 << i for i in range(a, b)) & full & ~(1 << bit)))).alias("rest")) for a, b in SEGMENTS for bit in range(a, b)])
-    index = classes.select("fp", F.explode(variants).alias("v")).select("fp", "v.wild", "v.rest")
+    index = classes.select("fp", F.col(node).alias("node"), F.explode(variants).alias("v")).select("fp", "node", "v.wild", "v.rest")
     a, b = index.alias("a"), index.alias("b")
     apart = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     inside = [apart.bitwiseAND(F.lit(signed(sum(1 << i for i in range(x, y))))) for x, y in SEGMENTS]
@@ -81,7 +83,7 @@ def links(classes: DataFrame) -> DataFrame:
     low = F.when(own == 0, SEGMENTS[0][0]).when(own == 1, SEGMENTS[1][0]).otherwise(SEGMENTS[2][0])
     once = (first == own) & ((differs != 0) | (wild == low))
     on = (F.col("a.wild") == F.col("b.wild")) & (F.col("a.rest") == F.col("b.rest")) & (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(apart) <= RADIUS) & once
-    return a.join(b, on).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    return a.join(b, on).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -104,21 +106,34 @@ def components(pairs: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row a document: doc_id, fp, component_id (smallest doc_id reachable over links, its own included) and
-    __llm_row, its place in the table, with __llm_stays: the one row of each component that stays has the smallest
-    doc_id, and among equal ones the first place."""
-    prints = fingerprints(docs.withColumn(ROW, F.monotonically_increasing_id()), ROW)
-    place = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", ROW))
-    classes = checkpointed(prints.groupBy("fp").agg(place.alias("least")))
-    roots = components(links(classes))
-    placed = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    lowest = placed.groupBy("root").agg(F.min("least").alias("first"))
-    found = prints.join(placed.join(lowest, "root").select("fp", "first"), "fp")
-    return found.select("doc_id", "fp", F.col("first.doc_id").alias("component_id"), ROW, (F.col(ROW) == F.col(f"first.{ROW}")).alias("__llm_stays"))
+def _prints(rows: DataFrame, row: str) -> DataFrame:
+    """doc_id, fp and place of numbered rows, computed once."""
+    return stored(fingerprints(rows.select("doc_id", "text", row), row).withColumnRenamed(row, "place"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, is_table: bool = False) -> DataFrame:
+    """One row a document: doc_id, fp, component_id (smallest doc_id reachable over links, its own included), place (of the
+    row in its stored table, see `numbered`) and stays: the one row of each component that stays has the smallest doc_id,
+    and among equal ones the first place."""
+    docs = docs.select("doc_id", "text")
+    (row,) = fresh(docs, "row")
+    return _joined(_prints(numbered(docs, row, is_table), row))
+
+
+def _joined(prints: DataFrame) -> DataFrame:
+    """doc_id, fp and place of all documents, with component_id and stays."""
+    # The node of a class is its first document, so the root of a component is the document that stays and gives the id.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "place"))
+    classes = stored(prints.groupBy("fp").agg(first.alias("node")))
+    roots = components(links(classes, "node"))
+    placed = classes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
+    found = prints.join(placed, "fp")
+    return found.select("doc_id", "fp", F.col("root.doc_id").alias("component_id"), "place", (F.col("place") == F.col("root.place")).alias("stays"))
+
+
+def one_of_each(docs: DataFrame, is_table: bool = False) -> DataFrame:
     """The documents that stay, with all their columns."""
-    stay = near_duplicates(docs).filter("__llm_stays").select(ROW)
-    return docs.withColumn(ROW, F.monotonically_increasing_id()).join(stay, ROW, "left_semi").drop(ROW)
+    (row,) = fresh(docs, "row")
+    rows = numbered(docs, row, is_table)
+    stay = _joined(_prints(rows, row)).filter("stays").select(F.col("place").alias(row))
+    return rows.join(stay, row, "left_semi").select(docs.columns)

@@ -4,16 +4,15 @@ from collections import defaultdict
 import pytest
 
 from ledgerloom.llm import line_dedup, queries
-from ledgerloom.llm.common import hidden
+from ledgerloom.llm.common import numbered
 
 SCHEMA = "doc_id bigint, text string, h string, first string, s string"
 
 
 def chunked(spark, docs):
     """The chunks as the operator cuts them: the boundaries are its own, what happens to them is tested."""
-    (row,) = hidden("row")
-    df = line_dedup.cut(docs.selectExpr(f"monotonically_increasing_id() as {row}", "doc_id", "text"), line_dedup.SPREAD)
-    return [(r.doc_id, r[row], r.text, r[line_dedup.ENDS]) for r in df.collect()]
+    df = line_dedup.bounded(numbered(docs.select("doc_id", "text"), line_dedup.ROW), line_dedup.SPREAD)
+    return [(r.doc_id, r[line_dedup.ROW], r.text, r[line_dedup.ENDS]) for r in df.collect()]
 
 
 def brute(rows):
@@ -53,9 +52,9 @@ def tables(rng):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_matches_brute_force(spark, seed):
     docs = spark.createDataFrame([(*r, "x", "y", "z") for r in tables(random.Random(seed))], SCHEMA)
-    got = line_dedup.deduplicated(docs)
-    assert got.columns == [*docs.columns, "__llm_cut"]
-    got = sorted(((r.doc_id, r.text, [tuple(x) for x in r["__llm_cut"]]) for r in got.collect()), key=str)
+    got = line_dedup.deduplicated(docs, cut="spans")
+    assert got.columns == [*docs.columns, "spans"]
+    got = sorted(((r.doc_id, r.text, [tuple(x) for x in r["spans"]]) for r in got.collect()), key=str)
     want = brute(chunked(spark, docs))
     assert got == want
     assert sum(len(x[2]) for x in want) > 50
@@ -94,3 +93,18 @@ def test_embedded_passages_of_few_lines_go(spark):
         want[i] = docs[-1][1] if i < len(passages) else "\n".join(before + after)
     got = {r.doc_id: r.text for r in line_dedup.deduplicated(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
     assert got == want
+
+
+def test_clashing_names_shuffled_input_and_a_long_text(spark):
+    long = "\n".join(f"row {i}" for i in range(60_000))
+    rows = [(1, "a\nb\nc", "k1", 5, None), (2, "x\na\nb\nc\ny", "k2", 6, [1]), (2, "x\na\nb\nc\ny", "k2", 6, [1]), (3, long, "k3", 7, []), (4, "top\n" + long, "k4", 8, [2, 3])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, __llm_row string, __llm_cut int, LINES array<int>").repartition(3, "doc_id")
+    got = line_dedup.deduplicated(docs)
+    assert got.columns == docs.columns
+    want = [("a\nb\nc", "k1", 5, None), ("x\ny", "k2", 6, [1]), ("x\ny", "k2", 6, [1]), (long, "k3", 7, []), ("top", "k4", 8, [2, 3])]
+    got = sorted(tuple(r)[1:] for r in got.collect())
+    # Of the two equal rows one keeps what is its first occurrence of the line pairs around the passage.
+    assert [r for r in got if r[1] != "k2"] == [r for r in sorted(want) if r[1] != "k2"]
+    assert {r[1:] for r in map(lambda r: (r[0], r[1], r[2], str(r[3])), got)} == {(r[1], r[2], str(r[3])) for r in want}
+    with pytest.raises(ValueError):
+        line_dedup.deduplicated(docs, cut="__llm_cut")
