@@ -20,8 +20,9 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, cuts = repeats.repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + x["end"] - x["start"])
-    digest = cuts.select("key", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
-    return members.join(digest, "key").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    listed = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    digest = cuts.select("key", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), listed.alias("spans"))
+    return members.join(digest, "key").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
 
 
 def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
