@@ -50,12 +50,25 @@ def test_blocks_of_rows_and_queries_keep_the_recall(spark):
 
 def test_index_finds_every_code_within_the_radius():
     rng = np.random.default_rng(2)
-    codes = rng.integers(0, 256, (2000, 6), dtype=np.uint8)
-    for radius in (0, 3, 5, 11, 17, 30, 48):
-        index = ann.Index(codes, radius)
-        for q in range(0, 2000, 97):
-            rows, _ = index.within(codes[q])
-            assert sorted(rows) == np.flatnonzero(np.bitwise_count(codes ^ codes[q]).sum(axis=1) <= radius).tolist()
+    for words, bits in ((1, 64), (2, 96)):
+        codes = rng.integers(0, 1 << 63, (2000, words), dtype=np.uint64) * np.uint64(2)
+        codes[:, -1] &= np.uint64((1 << (bits - 64 * (words - 1))) - 1)
+        codes[1000:] = codes[:1000] ^ (np.uint64(1) << rng.integers(0, 32, (1000, words), dtype=np.uint64))
+        for radius in (0, 3, 5, 11, 17, 30, 48, bits):
+            index = ann.Index(codes, radius, bits)
+            for q in range(0, 2000, 97):
+                assert index.within(codes[q]).tolist() == np.flatnonzero(np.bitwise_count(codes ^ codes[q]).sum(axis=1) <= radius).tolist()
+
+
+def test_probes_touch_few_rows_of_vectors_with_structure():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 32)).repeat(50, axis=0) + rng.normal(size=(2000, 32)) * 0.02
+    codes = ann.Codes(x, 10)
+    own = codes.of(x)
+    index = ann.Index(own, codes.radius, ann.ROTATIONS * 32)
+    asked = range(0, 2000, 37)
+    found = sum(len(index.within(own[q])) for q in asked)
+    assert index.prunes and index.touched <= 0.2 * 2000 * len(asked) and found >= 10 * len(asked)
 
 
 def test_equal_vectors_and_unsound_ones(spark):
