@@ -68,3 +68,31 @@ def segments(columns: DataFrame, least_gap: int, near: int) -> DataFrame:
     joined = runs.withColumn("new", F.when(gap.isNull() | (gap >= least_gap), 1).otherwise(0)).withColumn("g", F.sum("new").over(by_lo))
     out = joined.groupBy("page", "g").agg(F.min("lo").cast("bigint").alias("lo"), F.max("hi").cast("bigint").alias("hi"))
     return out.filter(F.col("hi") - F.col("lo") + 1 >= near).select("page", "lo", "hi")
+
+
+#: Fixed value: slips a page, until a page has been cut.
+PER_PAGE = 2.4
+
+
+def progress(jobs: DataFrame) -> DataFrame:
+    """jobs: pages, pages_done, found, done, failed, finished, and others. Adds estimated_total (what is found, and for the pages
+    that are left as many slips a page as so far) and progress (0.99 at most until the job is finished)."""
+    rate = F.when(F.col("pages_done") > 0, F.col("found") / F.col("pages_done")).otherwise(F.lit(PER_PAGE))
+    left = F.greatest(F.lit(0), F.col("pages") - F.col("pages_done"))
+    rows = jobs.withColumn("estimated_total", F.col("found").cast("bigint") + F.bround(left * rate).cast("bigint"))
+    ended = F.col("done") + F.col("failed")
+    share = ended / F.greatest(F.col("estimated_total"), ended, F.lit(1))
+    return rows.withColumn("progress", F.when(F.col("finished"), F.lit(1.0)).otherwise(F.least(F.lit(0.99), share)))
+
+
+def within_cap(rows: DataFrame, key: str, order: str, n: str, cap: int) -> DataFrame:
+    """The rows of each key, in order, before which fewer than `cap` things were counted (n each): the last one may pass it."""
+    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("before", F.coalesce(F.sum(n).over(before), F.lit(0))).filter(F.col("before") < cap).drop("before")
+
+
+def files_signature(files: DataFrame) -> DataFrame:
+    """files: seq, name, content. signature: one digest of all names and contents in order, made of a digest each."""
+    each = files.select("seq", F.sha2(F.concat(F.sha2(F.col("name").cast("binary"), 256), F.sha2("content", 256)), 256).alias("h"))
+    # A digest a file: uploads are few, and their contents stay where they are.
+    return each.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "h"))), lambda x: x["h"]), ","), 256).alias("signature"))

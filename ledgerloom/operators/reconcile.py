@@ -41,15 +41,25 @@ def acquirer_by_day(acquirer: DataFrame) -> DataFrame:
     return acquirer.groupBy("date").agg(card.alias("acquirer_cents"), pix.alias("acquirer_pix_cents"))
 
 
-def daily(ledger: DataFrame, acquirer: DataFrame, closings: DataFrame, start: date, end: date) -> DataFrame:
+def of_company(closings: DataFrame, company: str) -> DataFrame:
+    """One closing a date of the company: the first by seq (where there is none, the least by its amounts)."""
+    fields = [c for c in closings.columns if c not in ("company", "date")]
+    order = F.struct(*(["seq"] if "seq" in fields else []), *[c for c in fields if c != "seq"])
+    first = closings.filter(F.col("company") == company).groupBy("date").agg(F.min_by(F.struct(*fields), order).alias("x"))
+    return first.select(F.lit(company).alias("company"), "date", "x.*")
+
+
+def daily(ledger: DataFrame, acquirer: DataFrame, closings: DataFrame, start: date, end: date, company: str) -> DataFrame:
     """One row a day with movement: status OK, DIVERGENT, or PENDING where the closing is missing (then nulls, never zero).
 
-    The period is filtered below each aggregate: no filter passes a full outer join's merged key.
+    Of the closings only the company's first of a date counts. The period is filtered below each aggregate: no filter
+    passes a full outer join's merged key.
     """
     such = in_period(start, end)
+    closings = of_company(closings.filter(such), company)
     books = ledger_by_day(ledger.filter(such))
     cards = acquirer_by_day(acquirer.filter(such)).withColumn("has_acquirer", F.lit(True))
-    cash = closings.filter(such).select("date", "pix_cents", "cash_cents", "store_total_cents", F.lit(True).alias("has_closing"))
+    cash = closings.select("date", "pix_cents", "cash_cents", "store_total_cents", F.lit(True).alias("has_closing"))
     days = books.join(cards, "date", "full_outer").join(cash, "date", "full_outer")
     moved = (F.coalesce("ledger_cents", F.lit(0)) != 0) | F.col("has_acquirer") | (F.col("pix_cents") != 0) | (F.col("cash_cents") != 0) | (F.col("store_total_cents") != 0)
     zero = F.lit(0).cast("bigint")
@@ -60,6 +70,19 @@ def daily(ledger: DataFrame, acquirer: DataFrame, closings: DataFrame, start: da
     return days.select("date", "ledger_cents", "pix_cents", "cash_cents", "expected_card_cents", "acquirer_cents", "difference_cents", status.alias("status"))
 
 
+def gross_by_date(lines: DataFrame) -> DataFrame:
+    """Gross amount times quantity by date, over ledger lines (date, gross_cents, quantity)."""
+    return lines.groupBy("date").agg(F.sum(F.col("gross_cents") * F.coalesce("quantity", F.lit(1))).alias("gross_cents"))
+
+
+def source_sets(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row: how many records there are, and the distinct values of each column (not null, sorted).
+
+    Sellers, branches, establishments and tax ids are dimensions of the business, few by nature; dates are days.
+    """
+    return rows.agg(F.count("*").alias("records"), *[F.array_sort(F.collect_set(c)).alias(c) for c in columns])
+
+
 MEASURES = ("ledger_cents", "pix_cents", "cash_cents", "expected_card_cents", "acquirer_cents", "difference_cents")
 
 

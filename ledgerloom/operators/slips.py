@@ -7,6 +7,7 @@ but slips whose structure is broken, which go to `rejected`.
 from __future__ import annotations
 
 from datetime import date
+from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -222,3 +223,18 @@ def signature(raw: DataFrame) -> DataFrame:
     # Sums of digest parts do not depend on order, and merge without gathering rows.
     parts = [F.sum(F.conv(F.substring("h", 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(5)]
     return one.agg(F.sha2(F.concat_ws(",", F.count("*").cast("string"), *parts), 256).alias("signature"))
+
+
+def require_approved(raw: DataFrame, approved: str | None) -> DataFrame:
+    """raw, if the approval (the signature that was approved) is of exactly these slips; else an error."""
+    now = signature(raw).first().signature
+    if approved is None:
+        raise ValueError("the slips have not been approved")
+    if now != approved:
+        raise ValueError("the slips have changed since they were approved")
+    return raw
+
+
+def result_key(company: str, start: date, end: date, files: str, slips_: str) -> str:
+    """What a processed result belongs to: company, period, and the signatures of its files and slips."""
+    return sha256("\x1f".join([company, start.isoformat(), end.isoformat(), files, slips_]).encode()).hexdigest()

@@ -62,18 +62,44 @@ def identity(found: DataFrame, selected: str, has_identifiers: bool) -> DataFram
     return found.withColumn("others", others).withColumn("code", code).withColumn("severity", severity).filter("code is not null").select("severity", "code", "source", "others")
 
 
-def findings(ledger: DataFrame, acquirer: DataFrame, closings: DataFrame, start: date, end: date) -> DataFrame:
-    """severity, code, detail, dates: all that the sources say about each other in the period."""
+def companies_of_closings(closings: DataFrame, selected: str) -> DataFrame:
+    """severity, code, detail: closings of other companies than the selected one, and of more than one company."""
+    seen = closings.agg(F.array_sort(F.collect_set("company")).alias("c"))
+    others = F.array_except("c", F.array(F.lit(selected)))
+    found = F.array_compact(F.array(F.when(F.size(others) > 0, F.struct(F.lit("OTHER_COMPANY").alias("code"), F.array_join(others, ", ").alias("detail"))), F.when(F.size("c") > 1, F.struct(F.lit("MIXED_COMPANIES").alias("code"), F.array_join("c", ", ").alias("detail")))))
+    return seen.select(F.explode(found).alias("x")).select(F.lit("ERROR").alias("severity"), "x.code", "x.detail")
+
+
+def findings(ledger: DataFrame, acquirer: DataFrame, closings: DataFrame, start: date, end: date, company: str, identities: DataFrame | None = None) -> DataFrame:
+    """severity, code, detail, dates: all that the sources say about each other in the period.
+
+    closings may hold several companies: that is found, and the other checks look at the selected one. identities: source,
+    companies, what each source says of itself (`companies_by_code`, `companies_by_text`).
+    """
+    no_dates = F.array().cast("array<date>").alias("dates")
     if start > end:
         return ledger.sparkSession.createDataFrame([("ERROR", "PERIOD", f"{start} > {end}", None)], "severity string, code string, detail string, dates array<date>")
-    seen = presence(ledger, acquirer, closings, start, end)
+    mixed = companies_of_closings(closings, company).select("severity", "code", "detail", no_dates)
+    own = closings.filter(F.col("company") == company)
+    seen = presence(ledger, acquirer, own, start, end)
     dates: Column = F.array_sort(F.collect_set("date")).alias("dates")
     gaps = date_gaps(seen).groupBy(F.concat_ws("/", "present_in", "absent_in").alias("detail")).agg(dates).select(F.lit("WARNING").alias("severity"), F.lit("DATE_GAP").alias("code"), "detail", "dates")
     missing = missing_closings(seen).agg(dates).filter(F.size("dates") > 0).select(F.lit("WARNING").alias("severity"), F.lit("MISSING_CLOSING").alias("code"), F.lit("closing").alias("detail"), "dates")
     counts = seen.agg(*[F.count_if(f"in_{n}").alias(n) for n in ("ledger", "acquirer", "closing")])
     empty = counts.select(F.explode(F.array(*[F.struct(F.lit("WARNING" if n == "closing" else "ERROR").alias("severity"), F.lit(n).alias("detail"), F.col(n).alias("n")) for n in ("ledger", "acquirer", "closing")])).alias("x"))
-    empty = empty.filter("x.n = 0").select("x.severity", F.lit("EMPTY_SOURCE").alias("code"), "x.detail", F.array().cast("array<date>").alias("dates"))
-    return gaps.unionByName(missing).unionByName(empty)
+    empty = empty.filter("x.n = 0").select("x.severity", F.lit("EMPTY_SOURCE").alias("code"), "x.detail", no_dates)
+    every = [df.select(F.lit(n).alias("detail"), "date") for n, df in (("ledger", ledger), ("acquirer", acquirer), ("closing", own))]
+    outside = every[0].unionByName(every[1]).unionByName(every[2]).filter(~F.col("date").between(F.lit(start), F.lit(end))).groupBy("detail").agg(dates).select(F.lit("WARNING").alias("severity"), F.lit("OUT_OF_PERIOD").alias("code"), "detail", "dates")
+    found = mixed.unionByName(gaps).unionByName(missing).unionByName(empty).unionByName(outside)
+    if identities is not None:
+        named = identity(identities, company, True).select("severity", "code", F.concat_ws(": ", F.col("source").cast("string"), F.array_join("others", ", ")).alias("detail"), no_dates)
+        found = found.unionByName(named)
+    return found
+
+
+def distinct_in_order(rows: DataFrame, value: str, order: str) -> DataFrame:
+    """Messages or file names, each once, with the place (`order`) of its first occurrence; sort by it to read them."""
+    return rows.groupBy(value).agg(F.min(order).alias(order))
 
 
 def gate(found: DataFrame) -> None:

@@ -55,6 +55,9 @@ VIEWS = {
         SELECT 0 AS seq, concat('a-', CAST(date AS STRING)) AS file_name, company, date, pix_cents, cash_cents, store_total_cents FROM b_closing
         UNION ALL SELECT 1 AS seq, concat('b-', CAST(date AS STRING)) AS file_name, company, date, pix_cents, cash_cents, store_total_cents FROM b_closing WHERE day(date) % 5 = 0
         UNION ALL SELECT 2 AS seq, concat('c-', CAST(date AS STRING)) AS file_name, company, date, pix_cents + 1 AS pix_cents, cash_cents, store_total_cents FROM b_closing WHERE day(date) % 11 = 0""",
+    "b_closing_two": """
+        SELECT company, date, pix_cents, cash_cents, store_total_cents FROM b_closing
+        UNION ALL SELECT 'B' AS company, date, cash_cents AS pix_cents, pix_cents AS cash_cents, store_total_cents FROM b_closing WHERE day(date) % 9 = 0""",
     "b_company": """
         SELECT * FROM (VALUES ('North', 'AUTOMOBILE', 'Autómobile  Norte', '00001'), ('South', 'BUILDING', 'building', '00002'), ('East', 'FURNITURE', 'FÚRNITURE', '00003'))
         AS t(company, segment, alias, code)""",
@@ -143,6 +146,16 @@ VIEWS = {
                WHEN 2 THEN concat('[', chr(123), '"boleta":', chr(123), '"numero":"', CAST(k AS STRING), '"', chr(125), chr(125), ']') WHEN 3 THEN concat(chr(123), '"error":"rate limit reached"', chr(125))
                ELSE concat('[', chr(123), '"error":"bad image"', chr(125), ']') END AS body FROM b_orders""",
     "b_retry": "SELECT k, CASE k % 3 WHEN 0 THEN concat('try again in ', CAST(k % 900 AS STRING), 'ms') WHEN 1 THEN concat('Retry after ', CAST(k % 60 AS STRING), ' s please') ELSE 'no hint' END AS message FROM b_orders",
+    "b_stream": "SELECT concat('h', CAST(k % 97 AS STRING)) AS hash, CAST(k AS INT) AS page, CAST(k % 3 AS INT) AS position, body FROM b_response",
+    "b_job": """
+        SELECT k AS job, CAST(k % 9 AS INT) AS pages, CAST(k % 7 AS INT) AS pages_done, CAST(k % 7 * (1 + k % 4) AS INT) AS found,
+               CAST(k % 11 AS INT) AS done, CAST(k % 2 AS INT) AS failed, k % 13 = 0 AS finished, cents % 20000 AS seconds FROM b_orders""",
+    "b_hint": "SELECT c_nationkey AS source, c_custkey AS row_no, CAST(1 + c_custkey % 4 AS INT) AS n FROM {customer}",
+    # Neighbouring lines of an order: codes that have nothing in common, cut to several lengths, and moved by a place.
+    "b_code_any": """
+        SELECT l.seq AS k, substr(l.code, 1 + CAST(l.seq % 3 AS INT), 10 - CAST(l.k % 4 AS INT)) AS a,
+               CASE WHEN l.seq % 5 = 0 THEN concat(substr(l.code, 3, 1), substr(l.code, 2, 1), substr(l.code, 1, 1), substr(l.code, 5)) ELSE r.code END AS b
+        FROM b_ledger l JOIN b_ledger r ON r.seq = l.seq + 1""",
     "b_slot": "SELECT concat('h', CAST(doc_id % 97 AS STRING)) AS hash, CAST(doc_id AS INT) AS page, CAST(doc_id % 3 AS INT) AS position FROM {documents}",
     "b_cache": """
         SELECT concat('h', CAST(doc_id % 97 AS STRING)) AS hash, CAST(doc_id AS INT) AS page, CAST(doc_id % 3 AS INT) AS position, CASE WHEN doc_id % 11 = 0 THEN 'v1' ELSE 'v2' END AS render_version

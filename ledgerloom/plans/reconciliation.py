@@ -17,7 +17,7 @@ def sources(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
 
 
 def daily_reconciliation(spark: SparkSession, d: str) -> DataFrame:
-    return reconcile.daily(*sources(spark, d), START, END)
+    return reconcile.daily(*sources(spark, d), START, END, "A")
 
 
 DAILY = f"""
@@ -108,7 +108,7 @@ def adjacent_day_match(spark: SparkSession, d: str) -> DataFrame:
 
 def observations(spark: SparkSession, d: str) -> DataFrame:
     ledger, acquirer, closings = sources(spark, d)
-    days = reconcile.daily(ledger, acquirer, closings, START, END)
+    days = reconcile.daily(ledger, acquirer, closings, START, END, "A")
     return diagnose.observations(days, ledger, acquirer, reconcile.acquirer_by_day(acquirer), reconcile.exceptions(acquirer))
 
 

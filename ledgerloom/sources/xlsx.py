@@ -9,16 +9,19 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import re
 import unicodedata
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.job import within_cap
+
 NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
@@ -69,7 +72,7 @@ def records(content: bytes, required: dict[str, list[str]], optional: dict[str,
     raise ValueError("no sheet has the columns " + ", ".join(required))
 
 
-def read_xlsx(spark: SparkSession, path: str, required: dict[str, list[str]], optional: dict[str, list[str]] | None = None) -> DataFrame:
+def read_xlsx(spark: SparkSession, path: str | DataFrame, required: dict[str, list[str]], optional: dict[str, list[str]] | None = None) -> DataFrame:
     """source, row_no, error and the fields as text; a file that cannot be read is one row with its error."""
     fields = [*required, *(optional or {})]
     spec = json.dumps([required, optional or {}])
@@ -85,7 +88,31 @@ def read_xlsx(spark: SparkSession, path: str, required: dict[str, list[str]], op
                 yield pd.DataFrame(found, columns=["source", "row_no", "error", *fields]).astype({"row_no": "Int64"})
 
     schema = "source string, row_no bigint, error string, " + ", ".join(f"`{f}` string" for f in fields)
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, schema)
+    files = path if isinstance(path, DataFrame) else spark.read.format("binaryFile").load(path)
+    return files.select("path", "content").mapInPandas(parse, schema)
+
+
+def uploads(spark: SparkSession, sources: Sequence[object]) -> DataFrame:
+    """path, content of what a caller holds: (name, bytes-like or file-like) pairs, file-like objects, or paths. An object with
+    `getvalue` gives all it has; another is read from where it stands and put back there. For uploads, few and small by nature."""
+    rows = []
+    for k, source in enumerate(sources):
+        name, body = source if isinstance(source, tuple) else (getattr(source, "name", None), source)
+        if isinstance(body, (str, os.PathLike)):
+            files = spark.read.format("binaryFile").load(os.fspath(body)).select("path", "content").collect()
+            rows += [(name or f.path, bytes(f.content)) for f in files]
+            continue
+        if isinstance(body, (bytes, bytearray, memoryview)):
+            content = bytes(body)
+        elif hasattr(body, "getvalue"):
+            content = body.getvalue()
+        else:
+            at = body.tell() if hasattr(body, "tell") else None
+            content = body.read()
+            if at is not None:
+                body.seek(at)
+        rows.append((str(name or f"upload-{k}"), bytes(content)))
+    return spark.createDataFrame(rows, "path string, content binary")
 
 
 #: Header aliases of ledger and acquirer exports.
@@ -104,7 +131,7 @@ def ledger_lines(rows: DataFrame) -> DataFrame:
 
     rows = rows.filter(F.col("error").isNotNull() | filled(F.col("date")).isNotNull() | filled(F.col("seller")).isNotNull())
     day, cents = parse_date(F.col("date")), parse_money_cents(F.col("commission_base"))
-    error = F.coalesce("error", F.when(day.isNull(), "the date cannot be read"), F.when(cents.isNull(), "the commission base is not money"))
+    error = F.coalesce("error", F.when(day.isNull(), "the date cannot be read"), F.when(filled(F.col("seller")).isNull(), "no seller"), F.when(cents.isNull(), "the commission base is not money"))
     quantity = F.greatest(F.lit(1), F.coalesce(F.floor(F.col("quantity").try_cast("double")), F.lit(1))).cast("int")
     return rows.select(
         "source", "row_no", day.alias("date"), F.upper(F.trim("seller")).alias("seller"), cents.alias("commission_cents"), filled(F.col("sale_number")).alias("sale_number"), normalize_barcode(F.col("code")).alias("code"),
@@ -133,6 +160,27 @@ def transactions(rows: DataFrame) -> DataFrame:
     )
 
 
+def whole_files(lines: DataFrame, top: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Lines of the files that can be used as a whole, and (source, errors) of the others: one bad line rejects its file,
+    as does having no line at all. The files are those that have a row in `lines`, be it their error."""
+    bad = first_errors(lines, top)
+    good = lines.join(bad.select("source"), "source", "left_anti")
+    return good, bad
+
+
+def without_records(files: DataFrame, lines: DataFrame) -> DataFrame:
+    """source, errors of files (path) that gave no line."""
+    none = files.select(F.col("path").alias("source")).join(lines.select("source"), "source", "left_anti")
+    return none.select("source", F.lit("the file has no records").alias("errors"))
+
+
+def hints(rows: DataFrame, fields: Sequence[str], cap: int = 100) -> DataFrame:
+    """source, text: the texts of a file's first rows, by which its company may be known; no row is added once `cap` texts are there."""
+    texts = F.array_compact(F.array(*[F.when(F.trim(F.col(f"`{f}`")) != "", F.col(f"`{f}`")) for f in fields]))
+    some = within_cap(rows.select("source", "row_no", texts.alias("texts")).withColumn("n", F.size("texts")), "source", "row_no", "n", cap)
+    return some.groupBy("source").agg(F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "texts"))), lambda x: x["texts"])), " ").alias("text"))
+
+
 def first_errors(rows: DataFrame, top: int = 5) -> DataFrame:
     """source, errors: the first five of a file, and how many more there are."""
     such = rows.filter("error is not null")

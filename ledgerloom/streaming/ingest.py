@@ -39,3 +39,25 @@ def start(spark: SparkSession, source: str, cache: str, failures: str, checkpoin
 
     stream = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     return (stream.queryName(name) if name else stream).start()
+
+
+STATES = ("preparing", "reading", "done", "cancelled", "failed")
+_cancelled: set[str] = set()
+
+
+def state(query: StreamingQuery) -> str:
+    """One of STATES. A query that was stopped by `cancel` keeps what it has committed."""
+    if not query.isActive:
+        return "failed" if query.exception() else "cancelled" if str(query.runId) in _cancelled else "done"
+    return "reading" if query.recentProgress or query.status["isTriggerActive"] and query.status["isDataAvailable"] else "preparing"
+
+
+def cancel(query: StreamingQuery) -> None:
+    """Stop after the batch at hand; whole batches stay, and a later start goes on from the checkpoint."""
+    _cancelled.add(str(query.runId))
+    query.stop()
+
+
+def running(spark: SparkSession) -> dict[str, StreamingQuery]:
+    """The jobs that run in this session, by name."""
+    return {q.name: q for q in spark.streams.active if q.name}

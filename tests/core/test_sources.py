@@ -60,9 +60,78 @@ def page(*spans, width=600, height=200):
 
 
 def test_segmentation():
+    # The gutters of 8 and 22 columns are as wide as a gutter must be, the one of 5 is not; what is narrower than a tenth of the page is dropped.
     assert slips.slip_columns(page((20, 180), (220, 400), (405, 560))) == [(20, 180), (220, 560)]
-    assert slips.slip_columns(page()) == [(0, 600)]
-    assert slips.rule_coverage(np.array([[1, 1, 1, 0, 1], [0, 0, 0, 0, 0]], bool), 3).tolist() == [0.5, 0.5, 0.5, 0, 0]
+    assert slips.slip_columns(page((20, 180), (188, 400))) == [(20, 180), (188, 400)]
+    assert slips.slip_columns(page((20, 180), (300, 330))) == [(20, 180)]
+    assert slips.slip_columns(page()) == []
+    # Ink in the margin above and below does not count.
+    margin = page((20, 180))
+    margin[:10, 200:500] = 0
+    assert slips.slip_columns(margin) == [(20, 180)]
+
+
+def test_pale_slips_are_found_by_their_rules():
+    grey = page((20, 180))
+    for y in (50, 90, 130):
+        grey[y : y + 2, 300:500] = 205
+    assert slips.slip_columns(grey) == [(20, 180), (300, 500)]
+    cover = slips.rule_coverage(grey[12:188])
+    assert set(cover[300:500]) == {6} and not cover[200:300].any() and not cover[500:].any()
+    assert not slips.rule_coverage(grey[:8]).any()
+
+
+def test_reduced_images_and_png():
+    import struct
+    import zlib
+
+    assert slips.fitted(np.full((1536, 2000), 7, np.uint8)).shape == (768, 1000) and slips.fitted(page()).shape == (200, 600)
+    board = np.kron(np.array([[0, 200], [100, 50]], np.uint8), np.ones((800, 800), np.uint8))
+    small = slips.fitted(board, 2)
+    assert small.tolist() == [[0, 200], [100, 50]]
+    made = slips.png(small)
+    assert made[:8] == b"\x89PNG\r\n\x1a\n" and struct.unpack(">II", made[16:24]) == (2, 2)
+    at = made.index(b"IDAT") + 4
+    assert zlib.decompress(made[at : at + struct.unpack(">I", made[at - 8 : at - 4])[0]]) == bytes([0, 0, 200, 0, 100, 50])
+
+
+def test_pages_and_texts_by_injected_readers(spark):
+    files = xlsx.uploads(spark, [("a.pdf", b"%PDF-2"), ("b.txt", b"x"), ("c.png", b"img"), ("d.pdf", b"%PDF-0"), ("e.png", b"")])
+
+    def reader(content, name, dpi):
+        assert dpi == 200
+        for _ in range(int(content[-1:]) if content[:5] == b"%PDF-" else 1):
+            yield np.full((20, 30), 9, np.uint8)
+
+    got = sorted((r.source_file, r.page, r.width, r.error) for r in slips.pages(files, reader).collect())
+    assert got == [("a.pdf", 1, 30, None), ("a.pdf", 2, 30, None), ("b.txt", 1, 0, "b.txt: neither a PDF nor an image"), ("c.png", 1, 30, None), ("d.pdf", 1, 0, "d.pdf: the file has no pages"), ("e.png", 1, 0, "e.png: the file is empty")]
+    assert {r.source_file: r.n_pages for r in slips.page_counts(files, lambda c, n: int(c[-1:])).collect()} == {"a.pdf": 2, "b.txt": None, "c.png": 1, "d.pdf": 0, "e.png": None}
+    found = {r.file_name: (r.text, r.error) for r in slips.texts(files, lambda c: c.decode().strip("x")).collect()}
+    assert found["a.pdf"] == ("%PDF-2", None) and found["b.txt"] == ("", "no text")
+
+
+def test_uploads_of_any_kind(spark, tmp_path):
+    (tmp_path / "p.bin").write_bytes(b"path")
+    with open(tmp_path / "p.bin", "rb") as handle:
+        handle.seek(2)
+        rows = xlsx.uploads(spark, [b"raw", bytearray(b"array"), ("n", io.BytesIO(b"value")), handle, str(tmp_path / "p.bin")]).collect()
+        assert handle.tell() == 2
+    assert [bytes(r.content) for r in rows] == [b"raw", b"array", b"value", b"th", b"path"] and rows[2].path == "n"
+
+
+def test_files_are_used_whole_or_not_at_all(spark):
+    head = ["Data", "Vendedor", "Base Comissão"]
+    good, bad, none = workbook([head, ["02/07/2026", "ana", "1,00"], [None, None, "9"]]), workbook([head, ["02/07/2026", "ana", "1,00"], *[["x", "b", "1"]] * 6, ["02/07/2026", None, "1"]]), workbook([head, [None, None, "1"]])
+    files = xlsx.uploads(spark, [("good", good), ("bad", bad), ("none", none)])
+    raw = xlsx.read_xlsx(spark, files, *xlsx.LEDGER)
+    lines = xlsx.ledger_lines(raw)
+    kept, errors = xlsx.whole_files(lines)
+    assert {r.source for r in kept.collect()} == {"good"}
+    told = {r.source: r.errors for r in errors.collect()}
+    assert told["bad"].count("the date cannot be read") == 5 and told["bad"].endswith("(+2)")
+    assert [tuple(r) for r in xlsx.without_records(files, lines).collect()] == [("none", "the file has no records")]
+    hints = {r.source: r.text for r in xlsx.hints(raw, ["date", "seller"], cap=3).collect()}
+    assert hints["good"] == "02/07/2026 ana" and hints["bad"] == "02/07/2026 ana x b"
 
 
 def test_transcription_and_cache(spark, tmp_path):
@@ -83,8 +152,16 @@ def test_transcription_and_cache(spark, tmp_path):
     slips.append_cache(done, path, "v1")
     slips.append_cache(done, path, "v1")
     assert slips.cached(spark, path, "v1").count() == 1 and slips.cached(spark, path, "v2").count() == 0 and slips.cache_size(spark, path) == 1
+    marks = f"{tmp_path}/marks"
+    slips.mark_complete(spark.createDataFrame([("h", 2), ("g", 1)], "hash string, slips int"), marks, "v1")
+    assert slips.complete_entries(spark, path, marks, "v1").count() == 0
+    slips.mark_complete(spark.createDataFrame([("h", 1)], "hash string, slips int"), marks, "v1")
+    assert [r.position for r in slips.complete_entries(spark, path, marks, "v1").collect()] == [1]
     slips.forget(spark, path, ["h"], f"{tmp_path}/scratch")
     assert slips.cache_size(spark, path) == 0
+    slips.append_cache(done, path, "v1")
+    slips.clear(spark, path)
+    assert slips.cache_size(spark, path) == 0
 
 
 def test_stream_is_taken_in_once(spark, tmp_path):
@@ -114,6 +191,38 @@ def test_report(spark):
 
 def test_gate(spark):
     empty = spark.createDataFrame([], "date date")
-    found = validate.findings(empty, empty, empty, date(2026, 1, 1), date(2026, 1, 2))
+    found = validate.findings(empty, empty, spark.createDataFrame([], "company string, date date"), date(2026, 1, 1), date(2026, 1, 2), "A")
     with pytest.raises(ValueError, match="EMPTY_SOURCE"):
         validate.gate(found)
+
+
+def test_stream_states_and_cancel(spark, tmp_path):
+    places = [str(tmp_path / p) for p in ("in", "cache", "failures", "checkpoint")]
+    (tmp_path / "in").mkdir()
+    for k in range(4):
+        (tmp_path / "in" / f"{k}.json").write_text(json.dumps({"hash": "h", "page": k, "position": 1, "body": json.dumps({"numero": str(k)})}))
+    seen = []
+
+    def stop(batch, number):
+        (query,) = [q for n, q in ingest.running(spark).items() if n == "job"]
+        seen.append(ingest.state(query))
+        if number == 1:
+            ingest.cancel(query)
+
+    query = ingest.start(spark, *places, version="v1", files_at_once=1, name="job", each=stop)
+    query.awaitTermination(120)
+    assert ingest.state(query) == "cancelled" and "job" not in ingest.running(spark) and set(seen) <= {"preparing", "reading"}
+    kept = spark.read.parquet(places[1]).count()
+    assert 1 <= kept <= 3
+    query = ingest.start(spark, *places, version="v1", files_at_once=1, name="job")
+    query.awaitTermination(120)
+    assert ingest.state(query) == "done" and spark.read.parquet(places[1]).count() == 4
+
+    def fail(batch, number):
+        raise RuntimeError("no")
+
+    (tmp_path / "in" / "9.json").write_text("{}")
+    query = ingest.start(spark, *places, version="v1", each=fail)
+    with pytest.raises(Exception):  # noqa: B017
+        query.awaitTermination(120)
+    assert ingest.state(query) == "failed"
