@@ -76,18 +76,20 @@ VIEWS = {
                CASE WHEN l_returnflag = 'R' THEN -gross ELSE gross END AS gross_cents, CASE WHEN k % 3 = 0 THEN NULL ELSE net END AS net_cents,
                CAST(1 + l_linenumber % 3 AS INT) AS quantity, concat('P', CAST(l_partkey AS STRING)) AS product
         FROM b_line""",
+    # What the cross-check looks at: every 97th sale was never booked, so its slip has none.
+    "b_booked": "SELECT * FROM b_ledger WHERE k % 97 <> 0",
     "b_piece": """
         SELECT k, date, seller, seq * 4 + n AS ord, code, abs(gross_cents) AS cents, gross_cents < 0 AS back, abs(coalesce(net_cents, gross_cents)) AS paid,
                row_number() OVER (PARTITION BY k, gross_cents < 0 ORDER BY seq, n) AS pos
         FROM b_ledger JOIN (VALUES (1), (2), (3)) AS q(n) ON n <= quantity WHERE k % 20 <> 0""",
     # Noise by k % 20: 1 a digit, 2 a swap, 3 an amount, 4 an amount and the total, 5 no total, 6 the next day, 7 returns as items, 8 the piece count,
-    # 9 a percent discount, 10 other codes and no control number.
+    # 9 a percent discount, 10 other codes and amounts and no control number, so that the total alone is right.
     "b_slip_piece": """
         SELECT k, date, seller, ord, cents AS own_cents, back AS own_back, paid,
                CASE WHEN pos = 1 AND NOT back AND k % 20 = 1 THEN concat(substr(code, 1, 4), CAST((CAST(substr(code, 5, 1) AS INT) + 1) % 10 AS STRING), substr(code, 6))
                     WHEN pos = 1 AND NOT back AND k % 20 = 2 THEN concat(substr(code, 1, 3), substr(code, 5, 1), substr(code, 4, 1), substr(code, 6))
                     WHEN k % 20 = 10 THEN CAST(9999999999 - CAST(code AS BIGINT) AS STRING) ELSE code END AS code,
-               cents + CASE WHEN pos = 1 AND NOT back AND k % 20 IN (3, 4) THEN 100 ELSE 0 END AS cents, back AND k % 20 <> 7 AS back
+               cents + CASE WHEN pos = 1 AND NOT back AND k % 20 IN (3, 4) THEN 100 WHEN NOT back AND k % 20 = 10 THEN 13 ELSE 0 END AS cents, back AND k % 20 <> 7 AS back
         FROM b_piece""",
     "b_slip_sum": f"""
         SELECT k, date, seller, CAST(sum(CASE WHEN back THEN 0 ELSE 1 END) AS BIGINT) AS n_items, CAST(sum(CASE WHEN back THEN 1 ELSE 0 END) AS BIGINT) AS n_returns,

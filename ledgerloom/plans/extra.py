@@ -11,6 +11,7 @@ from ledgerloom.checkpoints import shared_folder
 from ledgerloom.functions.codes import code_distance
 from ledgerloom.operators import job, reconcile, shown, validate
 from ledgerloom.plans.bindings import END, START, amount, for_duckdb, view, written
+from ledgerloom.plans.crosscheck_sql import distances
 from ledgerloom.plans.reconciliation import PERIOD, PRESENCE
 from ledgerloom.sources import slips
 from ledgerloom.streaming import ingest
@@ -73,18 +74,6 @@ QUERIES = {
     for f in (closings_of_company, gross_by_date, source_sets, validation_findings, message_dedupe, hint_cap, job_progress, markdown_text, slip_grid, code_distance_any, slip_stream_ingest)
 }
 
-# The distance table row by row: each step makes the next row out of the last two. A cell may also come from its left
-# neighbour, so it is the least, over all cells up to it, of what they hold and the steps between.
-DISTANCE = """
-    WITH RECURSIVE p AS (SELECT DISTINCT a, b FROM b_code_any),
-    t(a, b, i, one, two) AS (
-        SELECT a, b, 0, range(0, length(b) + 1), range(0, length(b) + 1) FROM p
-        UNION ALL
-        SELECT a, b, i + 1, list_transform(range(0, length(b) + 1), lambda j: list_min(list_transform(range(0, j + 1), lambda m: cells[m + 1] - m)) + j), one
-        FROM (SELECT *, list_transform(range(0, length(b) + 1), lambda j: CASE WHEN j = 0 THEN i + 1 ELSE least(one[j + 1] + 1, one[j] + CASE WHEN a[i + 1] = b[j] THEN 0 ELSE 1 END,
-                  CASE WHEN i > 0 AND j > 1 AND a[i + 1] = b[j - 1] AND a[i] = b[j] THEN two[j - 1] + 1 ELSE 99 END) END) AS cells
-              FROM t WHERE i < length(a)))
-    SELECT a, b, one[length(b) + 1] AS distance FROM t WHERE i = length(a)"""
 NAMES = ("ledger", "acquirer", "closing")
 
 ORACLE = {
@@ -115,6 +104,6 @@ ORACLE = {
         f"{amount('sub_total_cents')} AS sub_total, CASE WHEN k % 20 = 9 THEN '12,5%' ELSE {amount('discount_cents')} END AS desconto, CASE WHEN total_cents IS NULL THEN '' ELSE {amount('total_cents')} END AS total, "
         "CASE k % 4 WHEN 0 THEN 'PIX' WHEN 1 THEN 'Cartão de Crédito' WHEN 2 THEN 'espécie' ELSE 'xyz' END AS pagamento, '' AS bandeira FROM b_slip_fact"
     ),
-    "code_distance_any": for_duckdb(f"SELECT k, a, b, CAST(distance AS BIGINT) AS distance FROM b_code_any JOIN ({DISTANCE}) USING (a, b)"),
+    "code_distance_any": for_duckdb(f"SELECT k, a, b, CAST(distance AS BIGINT) AS distance FROM b_code_any JOIN ({distances("(SELECT DISTINCT a, b FROM b_code_any)")}) USING (a, b)"),
     "slip_stream_ingest": for_duckdb("SELECT hash, page, position, CAST(page AS VARCHAR) AS number FROM b_stream JOIN b_orders ON page = k WHERE k % 5 < 3"),
 }

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from datetime import date
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,13 +10,15 @@ from pyspark.sql import functions as F
 from ledgerloom.checkpoints import checkpointed
 from ledgerloom.functions.codes import code_distance, control_matches
 from ledgerloom.operators import match, slips
+from ledgerloom.plans import crosscheck_sql
 from ledgerloom.plans.bindings import for_duckdb, view
 
 START, END = date(1995, 1, 1), date(2001, 12, 31)
 
 
 def raw(spark: SparkSession, d: str) -> DataFrame:
-    return view(spark, d, "b_slip")
+    # Reading a slip costs more than moving it, and what is small in bytes would be joined into one partition.
+    return view(spark, d, "b_slip").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "seq")
 
 
 def typed(spark: SparkSession, d: str) -> DataFrame:
@@ -98,6 +99,7 @@ def piece_match(spark: SparkSession, d: str) -> DataFrame:
     """The pieces of every slip against those of the sale that it was written for."""
     left, right = match.prepared(typed(spark, d).withColumn("sale_number", (F.col("seq")).cast("string")), ledger(spark, d), START, END)
     both = left.select("slip", "sale_number", "slip_pieces").join(right.select("sale_number", "sale_pieces"), "sale_number")
+    both = match.dealt(both, "slip")
     return match.with_piece_match(both).select("slip", F.posexplode("matched").alias("place", "x")).select("slip", F.col("place").cast("bigint").alias("place"), F.col("x.distance").cast("bigint").alias("distance"), F.col("x.side").cast("bigint").alias("side"), F.col("x.bi").cast("bigint").alias("bi"), F.col("x.ci").cast("bigint").alias("ci"))
 
 
@@ -105,14 +107,8 @@ def pair_scores(spark: SparkSession, d: str) -> DataFrame:
     return crosscheck(spark, d).day_scores
 
 
-@lru_cache(maxsize=1)
-def _crosscheck(spark: SparkSession, d: str) -> match.Crosscheck:
-    """One for the queries below that follow each other in a session on the same tables."""
-    return match.Crosscheck(checkpointed(ledger(spark, d)), slips.date_outliers(checkpointed(typed(spark, d))), START, END, checkpointed)
-
-
 def crosscheck(spark: SparkSession, d: str) -> match.Crosscheck:
-    return _crosscheck(spark, d)
+    return match.Crosscheck(checkpointed(view(spark, d, "b_booked")), slips.date_outliers(checkpointed(typed(spark, d))), START, END, checkpointed)
 
 
 def day_assignment(spark: SparkSession, d: str) -> DataFrame:
@@ -224,3 +220,39 @@ ORACLE = {
         "OR (length(ltrim(substr(c, 1, 3), '0')) >= 2 AND suffix(sale_number, ltrim(substr(c, 1, 3), '0'))) AS matches FROM (SELECT *, regexp_replace(control_no, '[^0-9]', '', 'g') AS c FROM b_control)"
     ),
 }
+
+
+NEEDED = "(SELECT 1 FROM b_slip_fact, b_slip_piece, b_booked)"
+PAIRS = crosscheck_sql.pair_ctes(SOURCE_DATE, START, END)
+FOUND = f"{PAIRS}, {crosscheck_sql.found_ctes()}"
+DAYS = f"{FOUND}, {crosscheck_sql.day_ctes(CONSISTENT, f"{CHECKS_SQL} <> '' OR k % 19 = 0 OR (k % 31 = 0 AND k % 20 = 6)")}"
+
+
+def on_pairs(ctes: str, select: str) -> str:
+    """DuckDB SQL over the views and the phases of the cross-check."""
+    sql = for_duckdb(f"SELECT 1 FROM {NEEDED}")
+    return f"{sql[: sql.rindex('SELECT 1 FROM (SELECT 1')].rstrip()}, {ctes} {select}"
+
+
+COUNTED = ("slips", "sales", "matched_sales", "sales_without_slip", "slips_without_sale", "piece_divergences", "reading_notes", "slip_value_cents", "ledger_value_cents", "difference_cents")
+KEPT = "(slips > excluded_slips OR sales > 0)"
+ORACLE |= {
+    "piece_match": on_pairs(
+        f"{crosscheck_sql.sources(SOURCE_DATE, START, END).replace('b_booked', 'b_ledger').replace('WHERE NOT suspect', '')}, own AS (SELECT slip, slip AS sale FROM sl WHERE slip IN (SELECT sale FROM sales)), {crosscheck_sql.piece_match('0', 'own')}",
+        "SELECT slip, place, CAST(d AS BIGINT) AS distance, CAST(side AS BIGINT) AS side, CAST(bi AS BIGINT) AS bi, CAST(ci AS BIGINT) AS ci FROM matched0",
+    ),
+    "pair_scores": on_pairs(PAIRS, f"SELECT slip, date AS slip_date, sale_date AS date, number AS sale_number, score FROM score1 JOIN sl USING (slip) JOIN sales USING (sale) WHERE score >= {match.MIN_SCORE}"),
+    "day_assignment": on_pairs(PAIRS, "SELECT slip, sale_date AS date, number AS sale_number FROM day_pairs JOIN sales USING (sale)"),
+    "total_only_match": on_pairs(PAIRS, "SELECT sale_date AS date, slip, number AS sale_number FROM total_pairs JOIN sales USING (sale)"),
+    "other_day_match": on_pairs(PAIRS, "SELECT slip, date AS slip_date, sale_date AS date, number AS sale_number, score FROM other_pairs JOIN sl USING (slip) JOIN sales USING (sale)"),
+    "unmatched_sales": on_pairs(PAIRS, "SELECT sale_date AS date, number AS sale_number, net AS net_cents FROM loose_sales"),
+    "unmatched_slips": on_pairs(PAIRS, "SELECT date, slip, total AS total_cents FROM loose_slips"),
+    "discrepancies": on_pairs(FOUND, "SELECT * FROM found"),
+    "discrepancy_kinds": on_pairs(FOUND, "SELECT kind, count(*) AS n, CAST(sum(impact_cents) AS BIGINT) AS impact_cents FROM found GROUP BY kind"),
+    "crosscheck_days": on_pairs(DAYS, f"SELECT * FROM days WHERE {KEPT}"),
+    "crosscheck_totals": on_pairs(
+        DAYS,
+        "SELECT " + ", ".join(f"CAST(coalesce(sum({c}) FILTER ({KEPT}), 0) AS BIGINT) AS {c}" for c in COUNTED) + ", CAST(coalesce(sum(excluded_slips), 0) AS BIGINT) AS excluded_slips, "
+        + ", ".join(f"count(*) FILTER ({KEPT} AND status = '{x}') AS {x.lower()}_days" for x in ("OK", "DIVERGENT", "REVIEW", "NO_SLIP")) + " FROM days",
+    ),
+}
