@@ -114,4 +114,5 @@ def test_a_very_long_text_and_the_spans(spark, tmp_path):
     assert got[1].n_removed >= n and got[2].n_removed >= n and got[2].n_spans == 1
     a, b = map(int, got[2].spans.split(":"))
     assert shared.encode() in ("start " + shared + " end").encode()[a:b] and b - a == got[2].n_removed
-    assert got[None].n_bytes == 0 and got[None].spans == ""
+    assert got[None].n_bytes == 0 and got[None].spans == "" and got[None].n_chars_kept == 0
+    assert got[1].n_chars_kept < len(long) and got[2].n_chars_kept == len(("start " + shared + " end").encode()[:a].decode("utf8", "replace") + ("start " + shared + " end").encode()[b:].decode("utf8", "replace"))
