@@ -3,29 +3,32 @@
 Texts and templates are lower-cased, cut into words at white space and ASCII punctuation, and read as hashes
 of five-word shingles. Templates are grouped by size: a group holds templates of up to M shingles (M a power
 of two). For each group every text is cut into windows of 2M shingles, one every M, so that an occurrence of a
-template lies wholly within a window. A window's MinHash sample, its `BANDS` least shingle hashes, are its
-bands; a template is indexed under all its shingles. Where a window holds a share f of template shingles, it
-retrieves the template with a probability of 1 - (1 - f)^BANDS at least: templates fill over half of M and match in 80 %
-or more, so f is over 0.2 and the probability over 0.998; for groups of up to BANDS / 2 shingles it is 1.
-A window gives BANDS rows at most, whatever its size.
+template lies wholly within a window.
 
-A retrieved pair is verified: the share of the template's shingles, as text, that the window contains
-must be `threshold` = 0.8 or more. The template index is a constant of this module or an argument, collected
-on the driver by nature; it is broadcast up to `MAX_INDEX` shingles and shuffled beyond.
+Windows and templates have MinHash signatures by one permutation: shingle hashes are dealt into `BINS` = 64 bins, and the least of
+each bin is a band of one row. A bin agrees with a probability of the similarity J of the two sets. Templates fill over half
+of M and match in 80 % or more, so J is over 0.8 * 0.5 / 2.1 = 0.19, and of 64 bands one agrees with a probability of
+1 - 0.81^64, which is over 0.999998. Bands of more rows would need similar sets, which a window and a template within are not.
+For groups of up to SMALL = 16 shingles, whose windows have 32, every shingle is a band, and the probability is 1.
+
+A retrieved pair of window and template is verified once: the share of the template's shingles, as text, that the window
+contains must be `threshold` = 0.8 or more. The template index is a constant of this module or an argument, collected
+on the driver by nature; it is broadcast up to `MAX_INDEX` bands and shuffled beyond.
 
 Edge cases: null text is empty; texts of fewer than five words have no shingle and no result; templates of
 fewer than five words are refused; very long texts give more windows, not longer ones; repeated rows give
-repeated results (rows are told apart by place); null ids are kept; an empty table gives an empty result.
+repeated results (rows are told apart by place); null ids are kept; further columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORDS, BANDS, MAX_INDEX = 5, 32, 200_000
+WORDS, BINS, SMALL, MAX_INDEX = 5, 64, 16, 200_000
 #: ASCII white space and punctuation.
 BREAKS = r"[\s!-/:-@\[-`{-~]+"
 
@@ -73,23 +76,34 @@ def shingles(text: str) -> list[str]:
     return sorted({" ".join(words[i : i + WORDS]) for i in range(len(words) - WORDS + 1)})
 
 
+def signature(hashes: Column, m: int | Column) -> Column:
+    """The bands of a set of shingle hashes in group m: the least hash of each bin, or all of them in a small group."""
+    if isinstance(m, int) and m <= SMALL:
+        return F.array_distinct(hashes)
+    # The bin in the highest bits, the rest of the hash below: sorted, the first of each bin is its least.
+    binned = F.transform(hashes, lambda h: F.shiftleft(h.bitwiseAND(F.lit(BINS - 1)), 57).bitwiseOR(F.shiftrightunsigned(h, 7)))
+    first = lambda s: F.filter(s, lambda x, i: (i == 0) | (F.shiftright(x, 57) != F.shiftright(F.get(s, i - 1), 57)))
+    return F.get(F.transform(F.array(F.array_sort(binned)), first), F.lit(0))
+
+
 def window(m: int):
-    """Of the first shingle of a window: its shingle hashes and its words."""
-    return lambda i: F.struct(F.lit(m).alias("m"), F.slice("h", i + 1, F.lit(2 * m)).alias("h"), F.slice("words", i + 1, F.lit(2 * m + WORDS - 1)).alias("words"))
+    """Of the first shingle of a window: its bands and its words."""
+    return lambda i: F.struct(F.lit(m).alias("m"), i.alias("at"), signature(F.slice("h", i + 1, F.lit(2 * m)), m).alias("bands"), F.slice("words", i + 1, F.lit(2 * m + WORDS - 1)).alias("words"))
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """A row for each document and license found: doc_id, license, matched (shingles contained) and shingles of the best template and window, n_windows."""
     spark = docs.sparkSession
     sets = [shingles(t) for _, t in templates]
-    groups = sorted({1 << (len(s) - 1).bit_length() for s in sets if len(s) > BANDS // 2} | ({BANDS // 2} if any(len(s) <= BANDS // 2 for s in sets) else set()))
-    group = [max(BANDS // 2, 1 << (len(s) - 1).bit_length()) for s in sets]
+    group = [max(SMALL, 1 << (len(s) - 1).bit_length()) for s in sets]
     known = spark.createDataFrame([(g, k, name, s) for k, (g, (name, _), s) in enumerate(zip(group, templates, sets, strict=True))], "m int, template int, license string, wanted array<string>")
-    index = known.select("m", "template", "license", "wanted", F.explode("wanted").alias("shingle"))
     # The hash of a shingle is that of the hashes of its words.
-    index = index.select("m", "template", "license", "wanted", F.xxhash64(*[F.xxhash64(F.get(F.split("shingle", " "), F.lit(i))) for i in range(WORDS)]).alias("band"))
-    if sum(map(len, sets)) <= MAX_INDEX:
-        index = F.broadcast(index)
+    hashed = F.transform("wanted", lambda x: F.xxhash64(*[F.xxhash64(F.get(F.split(x, " "), F.lit(i))) for i in range(WORDS)]))
+    bands = F.when(F.col("m") <= SMALL, signature(hashed, SMALL)).otherwise(signature(hashed, 2 * SMALL))
+    index = known.select("m", "template", F.explode(bands).alias("band"))
+    # Templates have as many bands as shingles at most.
+    small = sum(map(len, sets)) <= MAX_INDEX
+    side = F.broadcast if small else lambda df: df
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), BREAKS, -1), "").alias("words"))
     rows = rows.filter(F.size("words") >= WORDS).withColumn("w", F.transform("words", lambda x: F.xxhash64(x)))
@@ -97,14 +111,15 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
     rows = rows.withColumn("h", F.transform(F.sequence(F.lit(0), F.size("w") - WORDS), lambda i: F.xxhash64(*at(i)))).drop("w")
     # The windows of all groups together, so that each text is cut into words once.
     starts = lambda m: F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("h") - 1), F.lit(m))
-    windows = rows.select("row", "doc_id", F.explode(F.concat(*[F.transform(starts(m), window(m)) for m in groups])).alias("x"))
-    windows = windows.select("row", "doc_id", "x.m", "x.words", F.explode(F.slice(F.sort_array(F.array_distinct("x.h")), 1, BANDS)).alias("band"))
-    found = windows.join(index, ["m", "band"]).select("row", "doc_id", "template", "license", "wanted", "words")
+    windows = rows.select("row", "doc_id", F.explode(F.concat(*[F.transform(starts(m), window(m)) for m in sorted(set(group))])).alias("x"))
+    windows = windows.select("row", "doc_id", "x.m", "x.at", "x.words", F.explode("x.bands").alias("band"))
+    # Few windows share a band with a template; those that share several are verified once.
+    found = windows.join(side(index), ["m", "band"]).drop("band").dropDuplicates(["row", "m", "at", "template"]).join(side(known.drop("m")), "template")
     texts = F.transform(F.sequence(F.lit(0), F.size("words") - WORDS), lambda i: F.array_join(F.slice("words", i + 1, F.lit(WORDS)), " "))
     contained = F.size(F.array_intersect("wanted", texts))
-    found = found.filter(F.size("words") >= WORDS).select("row", "doc_id", "template", "license", "words", contained.alias("matched"), F.size("wanted").alias("shingles"))
+    found = found.filter(F.size("words") >= WORDS).select("row", "doc_id", "m", "at", "license", contained.alias("matched"), F.size("wanted").alias("shingles"))
     found = found.filter(F.col("matched") >= F.ceil(F.lit(threshold) * F.col("shingles")))
     best = found.groupBy("row", "license").agg(
-        F.min("doc_id").alias("doc_id"), F.max(F.struct((F.col("matched") / F.col("shingles")).alias("share"), "matched", "shingles")).alias("best"), F.count_distinct(F.xxhash64("words")).alias("n_windows")
+        F.min("doc_id").alias("doc_id"), F.max(F.struct((F.col("matched") / F.col("shingles")).alias("share"), "matched", "shingles")).alias("best"), F.count_distinct("m", "at").alias("n_windows")
     )
     return best.select("doc_id", "license", F.col("best.matched").cast("bigint").alias("matched"), F.col("best.shingles").cast("bigint").alias("shingles"), "n_windows")
