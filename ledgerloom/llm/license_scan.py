@@ -83,7 +83,7 @@ def signature(hashes: Column, m: int | Column) -> Column:
     # The bin in the highest bits, the rest of the hash below: sorted, the first of each bin is its least.
     binned = F.transform(hashes, lambda h: F.shiftleft(h.bitwiseAND(F.lit(BINS - 1)), 57).bitwiseOR(F.shiftrightunsigned(h, 7)))
     first = lambda s: F.filter(s, lambda x, i: (i == 0) | (F.shiftright(x, 57) != F.shiftright(F.get(s, i - 1), 57)))
-    return F.get(F.transform(F.array(F.array_sort(binned)), first), F.lit(0))
+    return F.get(F.transform(F.array(F.sort_array(binned)), first), F.lit(0))
 
 
 def window(m: int):
