@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import ann, bpe, chat_format, decontaminate, license_scan, line_dedup, quality, repeats, secret_scan, simhash
+from ledgerloom.llm import ann, bpe, chat_format, decontaminate, license_scan, line_dedup, merkle, quality, repeats, secret_scan, simhash
 from ledgerloom.llm.common import table
 
 
@@ -80,7 +80,13 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_suffix_dedup, op3_license_scans, op4_line_dedup, op5_nearest_neighbours, op6_bpe, op7_benchmark_decontamination, op8_simhash_near_dedup, op9_quality_classifier, op10_chat_formatting)}
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.of_documents(table(spark, sf_dir, "documents"), lambda doc_id: F.crc32(doc_id.cast("string")) % 7 == 0)
+    proof = F.sha2(F.array_join(merkle.siblings(F.col("steps")), ""), 256)
+    return found.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", "verified")
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_suffix_dedup, op3_license_scans, op4_line_dedup, op5_nearest_neighbours, op6_bpe, op7_benchmark_decontamination, op8_simhash_near_dedup, op9_quality_classifier, op10_chat_formatting, op12_merkle_manifest)}
 
 # The conversations are escaped where a plain rendering would not read back: control strings or escapes in a text or role.
 _TURNS = f"""
@@ -88,7 +94,43 @@ _TURNS = f"""
              UNION ALL SELECT -1, 0, 'user', '{PROBE}' UNION ALL SELECT -1, 1, 'assistant', '{PROBE}'),
     marked AS (SELECT *, regexp_matches(text, '<\\|im_(start|end)\\|>') OR regexp_matches(text, '<\\\\+\\|') OR regexp_matches(role, '\\n|%25|%0A|%3C|<\\|im_(start|end)\\|>') AS odd FROM rows),
     known AS (SELECT *, bool_or(odd) OVER (PARTITION BY conv_id) AS escaped FROM marked)"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, a bit at a time."""
+    bits = f"list_transform(range(0, 8 * length({text})), lambda j: CASE WHEN j % 8 = 0 THEN CAST(ascii(substr({text}, CAST(j // 8 + 1 AS BIGINT), 1)) AS BIGINT) ELSE 0 END)"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bits}), lambda a, b: xor(xor(a, b) >> 1, (xor(a, b) & 1) * 3988292384)), 4294967295)"
+
+
+def _forest(name: str, nodes: str) -> str:
+    """The recursive CTE of all levels over `nodes` (t, place, n, h)."""
+    return f"""{name}(t, level, place, n, h) AS (SELECT t, 0, place, n, h FROM {nodes}
+        UNION ALL SELECT t, any_value(level) + 1, place // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY place)) FROM {name} WHERE n > 1 GROUP BY t, place // 2)"""
+
+
+_VALUES = ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST({} AS VARCHAR)", "text")
+_LEAF = "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in _VALUES) + ")"
+_MERKLE = f"""WITH RECURSIVE leaves AS (SELECT *, coalesce('1' || lang, '0') AS t, {_LEAF.format(*["n_chars"] * 2)} AS leaf,
+        CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN {_LEAF.format(*["(CAST(n_chars AS HUGEINT) + 1)"] * 2)} ELSE {_LEAF.format(*["n_chars"] * 2)} END AS claim FROM documents),
+    own AS MATERIALIZED (SELECT doc_id, t, leaf AS h, claim, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY t) AS n FROM leaves),
+    {_forest("trees", "own")},
+    subroots AS MATERIALIZED (SELECT t, h FROM trees WHERE n = 1),
+    ranked AS MATERIALIZED (SELECT 'top' AS t, row_number() OVER (ORDER BY t) - 1 AS place, count(*) OVER () AS n, h, t AS tree FROM subroots),
+    {_forest("tops", "ranked")},
+    grown AS MATERIALIZED (SELECT * FROM trees), above AS MATERIALIZED (SELECT * FROM tops),
+    steps AS MATERIALIZED (
+        SELECT o.t, o.place, l.level AS step, s.h, (o.place >> l.level) & 1 AS late FROM own o JOIN (SELECT DISTINCT t, level FROM grown WHERE n > 1) l USING (t)
+            LEFT JOIN grown s ON s.t = o.t AND s.level = l.level AND s.place = xor(o.place >> l.level, 1)
+        UNION ALL
+        SELECT o.t, o.place, 1000 + l.level, s.h, (r.place >> l.level) & 1 FROM own o JOIN ranked r ON r.tree = o.t CROSS JOIN (SELECT DISTINCT level FROM above WHERE n > 1) l
+            LEFT JOIN above s ON s.level = l.level AND s.place = xor(r.place >> l.level, 1)),
+    paths AS MATERIALIZED (SELECT t, place, coalesce(string_agg(h, '' ORDER BY step), '') AS proof, list({{'h': h, 'late': late}} ORDER BY step) AS way FROM steps GROUP BY t, place)
+    SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM (
+        SELECT doc_id, o.h AS leaf, s.h AS subroot, (SELECT h FROM above WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+               list_reduce(list_prepend({{'h': claim, 'late': CAST(0 AS BIGINT)}}, coalesce(way, [])), lambda a, x: {{'h': sha256(CASE WHEN x.late = 1 THEN x.h || a.h ELSE a.h || coalesce(x.h, '') END), 'late': x.late}}).h AS folded_root
+        FROM own o JOIN subroots s USING (t) LEFT JOIN paths p USING (t, place))"""
 ORACLE: dict[str, str] = {
+    "op12_merkle_manifest": _MERKLE,
     "op10_chat_formatting": f"""WITH {_TURNS}
     SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
            CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
