@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import ann, bpe, chat_format, decontaminate, license_scan, line_dedup, merkle, quality, repeats, secret_scan, simhash
+from ledgerloom.llm import ann, bpe, chat_format, decontaminate, license_scan, line_dedup, merkle, quality, repeats, secret_scan, simhash, trie
 from ledgerloom.llm.common import table
 
 
@@ -80,13 +80,17 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations"), families=True)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = merkle.of_documents(table(spark, sf_dir, "documents"), lambda doc_id: F.crc32(doc_id.cast("string")) % 7 == 0)
     proof = F.sha2(F.array_join(merkle.siblings(F.col("steps")), ""), 256)
     return found.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", "verified")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_suffix_dedup, op3_license_scans, op4_line_dedup, op5_nearest_neighbours, op6_bpe, op7_benchmark_decontamination, op8_simhash_near_dedup, op9_quality_classifier, op10_chat_formatting, op12_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_suffix_dedup, op3_license_scans, op4_line_dedup, op5_nearest_neighbours, op6_bpe, op7_benchmark_decontamination, op8_simhash_near_dedup, op9_quality_classifier, op10_chat_formatting, op11_conversation_trie, op12_merkle_manifest)}
 
 # The conversations are escaped where a plain rendering would not read back: control strings or escapes in a text or role.
 _TURNS = f"""
@@ -108,6 +112,21 @@ def _forest(name: str, nodes: str) -> str:
         UNION ALL SELECT t, any_value(level) + 1, place // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY place)) FROM {name} WHERE n > 1 GROUP BY t, place // 2)"""
 
 
+_TRIE = f"""WITH RECURSIVE own AS MATERIALIZED (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place
+        FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+    convs AS MATERIALIZED (SELECT conv_id, {_crc32("CAST(conv_id AS VARCHAR)")} % {trie.HEADS} AS h FROM (SELECT DISTINCT conv_id FROM own)),
+    grown AS (SELECT c.conv_id, 0 AS part, place, role, text FROM convs c JOIN own b ON b.conv_id = c.conv_id - c.conv_id % {trie.FAMILY} AND place <= h
+        UNION ALL SELECT conv_id, 1, place, role, text FROM convs JOIN own USING (conv_id) WHERE place > h),
+    turns AS MATERIALIZED (SELECT conv_id, row_number() OVER w AS depth, length(text) AS chars, string_agg(length(role) || ':' || role || sha256(text), ' ') OVER w AS p FROM grown WINDOW w AS (PARTITION BY conv_id ORDER BY part, place)),
+    prefixes AS MATERIALIZED (SELECT conv_id, depth, chars, p, coalesce(lag(p) OVER (PARTITION BY conv_id ORDER BY depth), '') AS up, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM turns
+        UNION ALL SELECT conv_id, 0, 0, '', NULL, conv_id NOT IN (SELECT conv_id FROM turns) FROM convs),
+    nodes AS MATERIALIZED (SELECT p, any_value(up) AS up, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS saved,
+        sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM prefixes GROUP BY p),
+    families AS (SELECT up AS p, count(*) AS n_children FROM nodes WHERE up IS NOT NULL GROUP BY up),
+    below AS (SELECT a.p, count(*) FILTER (n_children IS NULL) AS n_leaves, sum(saved) AS saved_tokens
+        FROM nodes n LEFT JOIN families USING (p) JOIN prefixes a ON a.conv_id = n.conv_id AND a.depth <= n.depth GROUP BY a.p)
+    SELECT n.conv_id, n.depth, m.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+    FROM nodes n LEFT JOIN families USING (p) JOIN below USING (p) LEFT JOIN nodes m ON m.p = n.up"""
 _VALUES = ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST({} AS VARCHAR)", "text")
 _LEAF = "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in _VALUES) + ")"
 _MERKLE = f"""WITH RECURSIVE leaves AS (SELECT *, coalesce('1' || lang, '0') AS t, {_LEAF.format(*["n_chars"] * 2)} AS leaf,
@@ -130,6 +149,7 @@ _MERKLE = f"""WITH RECURSIVE leaves AS (SELECT *, coalesce('1' || lang, '0') AS
                list_reduce(list_prepend({{'h': claim, 'late': CAST(0 AS BIGINT)}}, coalesce(way, [])), lambda a, x: {{'h': sha256(CASE WHEN x.late = 1 THEN x.h || a.h ELSE a.h || coalesce(x.h, '') END), 'late': x.late}}).h AS folded_root
         FROM own o JOIN subroots s USING (t) LEFT JOIN paths p USING (t, place))"""
 ORACLE: dict[str, str] = {
+    "op11_conversation_trie": _TRIE,
     "op12_merkle_manifest": _MERKLE,
     "op10_chat_formatting": f"""WITH {_TURNS}
     SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
