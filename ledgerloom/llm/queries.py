@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import ann, bpe, chat_format, decontaminate, license_scan, line_dedup, merkle, quality, repeats, secret_scan, simhash, trie
+from ledgerloom.llm import ann, bpe, chat_format, decontaminate, langid, license_scan, line_dedup, merkle, quality, repeats, secret_scan, simhash, trie
 from ledgerloom.llm.common import table
 
 
@@ -90,7 +90,14 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", "verified")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_suffix_dedup, op3_license_scans, op4_line_dedup, op5_nearest_neighbours, op6_bpe, op7_benchmark_decontamination, op8_simhash_near_dedup, op9_quality_classifier, op10_chat_formatting, op11_conversation_trie, op12_merkle_manifest)}
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    found = langid.learned(docs, ~held_out & F.col("doc_id").isNotNull())
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_suffix_dedup, op3_license_scans, op4_line_dedup, op5_nearest_neighbours, op6_bpe, op7_benchmark_decontamination, op8_simhash_near_dedup, op9_quality_classifier, op10_chat_formatting, op11_conversation_trie, op12_merkle_manifest, op13_language_id)}
 
 # The conversations are escaped where a plain rendering would not read back: control strings or escapes in a text or role.
 _TURNS = f"""
