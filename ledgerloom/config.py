@@ -3,47 +3,38 @@
 from __future__ import annotations
 
 import os
+import re
+from collections import ChainMap
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, make_dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: A line of a settings file: a name, and a value that may stand in quotes.
+LINE = re.compile(r"""^[^\S\n]*(?P<name>[^#=\s][^=\n]*?)[^\S\n]*=[^\S\n]*(?P<quote>["']*)(?P<value>.*?)["'\s]*$""", re.MULTILINE)
 
-def dotenv(text: str) -> dict[str, str]:
-    """KEY=value lines; blanks and lines that start with # are skipped, quotes around a value are dropped."""
-    out = {}
-    for line in text.splitlines():
-        name, sep, value = line.strip().partition("=")
-        if sep and not name.startswith("#"):
-            out[name.strip()] = value.strip().strip("'\"")
-    return out
 
+def layered(file_text: str = "", environment: Mapping[str, str] | None = None, overrides: Mapping[str, object] | None = None) -> Mapping[str, str]:
+    """Settings looked up in the overrides that are given, then in the environment, then in the text of a file."""
+    given = {name: str(value) for name, value in (overrides or {}).items() if value is not None}
+    own = dict(os.environ) if environment is None else dict(environment)
+    return ChainMap(given, own, {m["name"]: m["value"] for m in LINE.finditer(file_text)})
 
-def layered(file_text: str = "", environment: Mapping[str, str] | None = None, overrides: Mapping[str, object] | None = None) -> dict[str, str]:
-    """Settings of a file, over which the environment counts, over which overrides count (those that are not None)."""
-    found = dotenv(file_text)
-    found.update(os.environ if environment is None else environment)
-    found.update({k: str(v) for k, v in (overrides or {}).items() if v is not None})
-    return found
 
+#: What is known of the transcription service: the name of each setting, what makes its value of a text, and the default.
+READER = (("url", str, ""), ("token", str, None), ("header", str, "Authorization"), ("timeout", float, 120.0), ("attempts", int, 3), ("concurrency", int, 8))
 
-@dataclass(frozen=True)
-class Reader:
-    """How the transcription service is called."""
 
-    url: str
-    token: str | None = None
-    header: str = "Authorization"
-    timeout: float = 120.0
-    attempts: int = 3
-    concurrency: int = 8
+def _of(cls, settings: Mapping[str, str], prefix: str = "LEDGERLOOM_READER_"):
+    """Blank settings count as not given; the address must be."""
+    texts = {name: str(settings.get(prefix + name.upper()) or "").strip() for name, _, _ in READER}
+    if not texts["url"]:
+        raise ValueError(f"{prefix}URL is not set")
+    return cls(**{name: kind(texts[name]) for name, kind, _ in READER if texts[name]})
+
 
-    @classmethod
-    def of(cls, settings: Mapping[str, str], prefix: str = "LEDGERLOOM_READER_") -> Reader:
-        get = lambda name: (settings.get(prefix + name) or "").strip()
-        if not get("URL"):
-            raise ValueError(f"{prefix}URL is not set")
-        return cls(get("URL"), get("TOKEN") or None, get("HEADER") or cls.header, float(get("TIMEOUT") or cls.timeout), int(get("ATTEMPTS") or cls.attempts), int(get("CONCURRENCY") or cls.concurrency))
+#: How the transcription service is called.
+Reader = make_dataclass("Reader", [(name, kind, field(default=default)) for name, kind, default in READER], frozen=True, namespace={"of": classmethod(_of)}, module=__name__)
 
 
 @dataclass(frozen=True)
@@ -79,3 +70,9 @@ def selected(companies: Sequence[Company], name: str) -> Company:
         if c.name == name:
             return c
     raise ValueError(f"unknown company {name!r}")
+
+
+def identified(companies: Sequence[Company], name: str) -> bool:
+    """Whether a company has tax ids or branch codes by which its sources can be told."""
+    own = selected(companies, name)
+    return bool(own.tax_ids or own.branch_codes)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import let
+
 #: Fixed value: what marks an error that may pass.
 TRANSIENT = r"(?i)rate limit|timeout|timed out|overloaded|temporar|429|50[234]"
 
@@ -59,15 +61,31 @@ def rates(done: DataFrame, key: str, us: str, tie: str, last: int = 40, least: i
     return rows.select(key, tie, F.when((F.col("n") >= least) & (F.col(us) > F.col("first")), rate).alias("per_minute_x1000"))
 
 
-def segments(columns: DataFrame, least_gap: int, near: int) -> DataFrame:
-    """columns: page, x, filled. Runs of filled columns; gaps under least_gap are closed, segments under `near` wide dropped."""
-    by_x = Window.partitionBy("page").orderBy("x")
-    runs = columns.filter("filled").withColumn("island", F.col("x") - F.row_number().over(by_x)).groupBy("page", "island").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    by_lo = Window.partitionBy("page").orderBy("lo")
-    gap = F.col("lo") - F.lag("hi").over(by_lo) - 1
-    joined = runs.withColumn("new", F.when(gap.isNull() | (gap >= least_gap), 1).otherwise(0)).withColumn("g", F.sum("new").over(by_lo))
-    out = joined.groupBy("page", "g").agg(F.min("lo").cast("bigint").alias("lo"), F.max("hi").cast("bigint").alias("hi"))
-    return out.filter(F.col("hi") - F.col("lo") + 1 >= near).select("page", "lo", "hi")
+#: Fixed values, in shares of a page's width: what a gutter has at least, what two gutters that are one lie apart at most, and what a
+#: slip has at least.
+GUTTER, JOIN, NARROWEST = 0.012, 0.05, 0.10
+
+
+def segments(empty: Column, width: Column) -> Column:
+    """lo and hi of the slips of a page, left to right, from its runs of empty columns (lo, hi; in order) and its width.
+
+    Runs that are wide enough are gutters; gutters with next to nothing between them are one; what lies between gutters, or between one
+    and the page's edge, is a slip if it is wide enough. All of it inside the row, on a few runs a page.
+    """
+    run = "array<struct<lo:int,hi:int>>"
+    wide = F.filter(empty, lambda r: r["hi"] - r["lo"] >= width * GUTTER)
+
+    def joined(done: Column, r: Column) -> Column:
+        last = F.element_at(done, -1)
+        one = F.array(F.struct(last["lo"].alias("lo"), r["hi"].alias("hi")))
+        apart = (F.size(done) == 0) | (r["lo"] - F.try_element_at(done, F.lit(-1))["hi"] > width * JOIN)
+        return F.when(apart, F.array_append(done, r)).otherwise(F.concat(F.slice(done, F.lit(1), F.size(done) - 1), one))
+
+    def between(gutters: Column) -> Column:
+        start, stop = F.concat(F.array(F.lit(0)), F.transform(gutters, lambda g: g["hi"])), F.concat(F.transform(gutters, lambda g: g["lo"]), F.array(width.cast("int")))
+        return F.filter(F.arrays_zip(start.alias("lo"), stop.alias("hi")), lambda s: s["hi"] - s["lo"] >= width * NARROWEST)
+
+    return let(F.aggregate(wide, F.array().cast(run), joined), between)
 
 
 #: Fixed value: slips a page, until a page has been cut.

@@ -70,11 +70,12 @@ def companies_of_closings(closings: DataFrame, selected: str) -> DataFrame:
     return seen.select(F.explode(found).alias("x")).select(F.lit("ERROR").alias("severity"), "x.code", "x.detail")
 
 
-def findings(ledger: DataFrame, acquirer: DataFrame, closings: DataFrame, start: date, end: date, company: str, identities: DataFrame | None = None) -> DataFrame:
+def findings(ledger: DataFrame, acquirer: DataFrame, closings: DataFrame, start: date, end: date, company: str, identities: DataFrame | None = None, has_identifiers: bool = True) -> DataFrame:
     """severity, code, detail, dates: all that the sources say about each other in the period.
 
     closings may hold several companies: that is found, and the other checks look at the selected one. identities: source,
-    companies, what each source says of itself (`companies_by_code`, `companies_by_text`).
+    companies, what each source says of itself (`companies_by_code`, `companies_by_text`). has_identifiers: whether the selected company has
+    any by which a source could tell (`config.identified`); without, a source that says nothing is a warning and passes the gate.
     """
     no_dates = F.array().cast("array<date>").alias("dates")
     if start > end:
@@ -92,7 +93,7 @@ def findings(ledger: DataFrame, acquirer: DataFrame, closings: DataFrame, start:
     outside = every[0].unionByName(every[1]).unionByName(every[2]).filter(~F.col("date").between(F.lit(start), F.lit(end))).groupBy("detail").agg(dates).select(F.lit("WARNING").alias("severity"), F.lit("OUT_OF_PERIOD").alias("code"), "detail", "dates")
     found = mixed.unionByName(gaps).unionByName(missing).unionByName(empty).unionByName(outside)
     if identities is not None:
-        named = identity(identities, company, True).select("severity", "code", F.concat_ws(": ", F.col("source").cast("string"), F.array_join("others", ", ")).alias("detail"), no_dates)
+        named = identity(identities, company, has_identifiers).select("severity", "code", F.concat_ws(": ", F.col("source").cast("string"), F.array_join("others", ", ")).alias("detail"), no_dates)
         found = found.unionByName(named)
     return found
 

@@ -162,7 +162,8 @@ VIEWS = {
     "b_cache": """
         SELECT concat('h', CAST(doc_id % 97 AS STRING)) AS hash, CAST(doc_id AS INT) AS page, CAST(doc_id % 3 AS INT) AS position, CASE WHEN doc_id % 11 = 0 THEN 'v1' ELSE 'v2' END AS render_version
         FROM {documents} WHERE doc_id % 97 % 2 = 0 OR doc_id % 5 <> 0""",
-    "b_column": "SELECT user_id AS page, CAST(event_id % 400 AS INT) AS x, min(event_id % 400 % 10) < 6 AS filled FROM {events} GROUP BY user_id, event_id % 400",
+    # Stretches of columns with ink, from lo up to hi, on pages of 450 columns.
+    "b_band": "SELECT user_id AS page, CAST(event_id * 37 % 400 AS INT) AS lo, CAST(event_id * 37 % 400 + 5 + event_id % 45 AS INT) AS hi FROM {events} WHERE event_id % 7 = 0",
 }
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import codes, dates, money, text
@@ -61,8 +61,17 @@ def completion_rate(spark: SparkSession, d: str) -> DataFrame:
     return job.rates(events, "user_id", "us", "event_id")
 
 
+WIDTH = 450
+
+
 def gutter_segments(spark: SparkSession, d: str) -> DataFrame:
-    return job.segments(view(spark, d, "b_column"), least_gap=3, near=2)
+    """The slips of pages whose empty columns are what no band of ink covers."""
+    before = Window.partitionBy("page").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    bands = view(spark, d, "b_band").unionByName(view(spark, d, "b_band").select("page", F.lit(WIDTH).alias("lo"), F.lit(WIDTH).alias("hi")).distinct())
+    gaps = bands.select("page", F.coalesce(F.max("hi").over(before), F.lit(0)).alias("from"), "lo").filter("lo > from").select("page", F.col("from").alias("lo"), F.col("lo").alias("hi"))
+    runs = bands.select("page").distinct().join(gaps.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("empty")), "page", "left")
+    none = F.array().cast("array<struct<lo:int,hi:int>>")
+    return runs.select("page", F.explode(job.segments(F.coalesce("empty", none), F.lit(WIDTH))).alias("s")).select("page", F.col("s.lo").cast("bigint").alias("lo"), F.col("s.hi").cast("bigint").alias("hi"))
 
 
 QUERIES = {
@@ -89,8 +98,13 @@ ORACLE = {
     "cache_miss_hit": for_duckdb("SELECT s.hash, s.page, s.position, c.hash IS NOT NULL AS hit FROM b_slot s LEFT JOIN (SELECT DISTINCT hash, page, position FROM b_cache WHERE render_version = 'v2') c ON s.hash = c.hash AND s.page = c.page AND s.position = c.position"),
     "cache_complete": for_duckdb("SELECT s.hash, coalesce(c.n, 0) = s.n AS complete FROM (SELECT hash, count(*) AS n FROM b_slot GROUP BY hash) s LEFT JOIN (SELECT hash, count(DISTINCT (page, position)) AS n FROM b_cache WHERE render_version = 'v2' GROUP BY hash) c ON s.hash = c.hash"),
     "completion_rate": "SELECT user_id, event_id, CASE WHEN n >= 5 AND us > first THEN CAST(floor((n - 1) * CAST(60000000000 AS BIGINT) / (us - first)) AS BIGINT) END AS per_minute_x1000 FROM (SELECT user_id, event_id, epoch_us(ts) AS us, count(*) OVER w AS n, first_value(epoch_us(ts)) OVER w AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 39 PRECEDING AND CURRENT ROW))",
+    # Gutters are 5.4 columns wide at least (5.4 = 0.012 x 450), one if no more than 22.5 apart; slips have 45 columns at least.
     "gutter_segments": for_duckdb(
-        "SELECT page, CAST(min(lo) AS BIGINT) AS lo, CAST(max(hi) AS BIGINT) AS hi FROM (SELECT *, sum(CASE WHEN prev IS NULL OR lo - prev - 1 >= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY lo) AS g FROM ("
-        "SELECT *, lag(hi) OVER (PARTITION BY page ORDER BY lo) AS prev FROM (SELECT page, min(x) AS lo, max(x) AS hi FROM (SELECT page, x, x - row_number() OVER (PARTITION BY page ORDER BY x) AS island FROM b_column WHERE filled) GROUP BY page, island))) GROUP BY page, g HAVING max(hi) - min(lo) + 1 >= 2"
+        "SELECT page, lo, hi FROM (WITH ends AS (SELECT page, lo, hi FROM b_band UNION ALL SELECT DISTINCT page, 450, 450 FROM b_band), "
+        "gaps AS (SELECT page, was AS lo, lo AS hi FROM (SELECT *, coalesce(max(hi) OVER (PARTITION BY page ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS was FROM ends) WHERE lo - was >= 5.4), "
+        "gutters AS (SELECT page, min(lo) AS lo, max(hi) AS hi FROM (SELECT *, sum(CASE WHEN lo - last <= 22.5 THEN 0 ELSE 1 END) OVER (PARTITION BY page ORDER BY lo) AS g FROM (SELECT *, lag(hi) OVER (PARTITION BY page ORDER BY lo) AS last FROM gaps)) GROUP BY page, g), "
+        "bounds AS (SELECT page, hi AS lo FROM gutters UNION ALL SELECT DISTINCT page, 0 FROM b_band), "
+        "slips AS (SELECT b.page, b.lo, coalesce(min(g.lo), 450) AS hi FROM bounds b LEFT JOIN gutters g ON g.page = b.page AND g.lo >= b.lo GROUP BY b.page, b.lo) "
+        "SELECT page, CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi FROM slips WHERE hi - lo >= 45)"
     ),
 }

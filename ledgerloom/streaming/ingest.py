@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.operators.job import envelopes
+from ledgerloom.sources import slips
 
 RESPONSE = "hash string, page int, position int, body string"
 
@@ -16,24 +18,29 @@ RESPONSE = "hash string, page int, position int, body string"
 def start(spark: SparkSession, source: str, cache: str, failures: str, checkpoint: str, version: str, files_at_once: int = 100, name: str | None = None, each: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Start (or resume from `checkpoint`) and stop by itself when all files are read.
 
-    Each batch is written idempotently: slots that the cache has are left out, so a batch that is run again after a
-    failure adds nothing twice. files_at_once bounds a batch. Failed slips go to `failures` and are read again if a
-    later file brings them.
+    What a batch writes, to the cache and to `failures`, lies in partitions that are named after the checkpoint and the batch's
+    number: a batch that is run again after a failure, at whatever point, replaces what it wrote before. Slots that another batch has
+    brought are left out. files_at_once bounds a batch, which is read once. Failed slips are read again if a later file brings them.
     """
     rows = spark.readStream.schema(RESPONSE).option("maxFilesPerTrigger", files_at_once).json(source)
+    own = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def write(batch: DataFrame, number: int) -> None:
-        found = envelopes(batch).dropDuplicates(["hash", "page", "position", "error"])
-        good = found.filter("error is null and slip is not null").select("hash", "page", "position", F.col("slip").alias("payload"))
+        label = f"{own}-{number}"
+        found = envelopes(batch).dropDuplicates(["hash", "page", "position", "error"]).persist()
         try:
-            known = batch.sparkSession.read.parquet(cache).filter(F.col("render_version") == version).select("hash", "page", "position")
-            good = good.join(known, ["hash", "page", "position"], "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        good = good.dropDuplicates(["hash", "page", "position"])
-        good.withColumn("render_version", F.lit(version)).withColumn("written_at", F.current_timestamp()).write.mode("append").partitionBy("render_version").parquet(cache)
-        found.filter("error is not null").select("hash", "page", "position", "error", "retryable", F.lit(number).alias("batch")).write.mode("append").parquet(failures)
+            good = found.filter("error is null and slip is not null").select("hash", "page", "position", F.col("slip").alias("payload"), "error").dropDuplicates(["hash", "page", "position"])
+            try:
+                known = batch.sparkSession.read.schema(slips.CACHE).parquet(cache).filter((F.col("render_version") == version) & (F.col("batch") != label))
+                good = good.join(known.select("hash", "page", "position"), ["hash", "page", "position"], "left_anti")
+            except Exception as e:
+                if "PATH_NOT_FOUND" not in str(e):
+                    raise
+            slips.append_cache(good, cache, version, label)
+            bad = found.filter("error is not null").select("hash", "page", "position", "error", "retryable", F.lit(label).alias("batch"))
+            bad.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(failures)
+        finally:
+            found.unpersist()
         if each:
             each(batch, number)
 

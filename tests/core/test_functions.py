@@ -81,6 +81,9 @@ def test_slip_dates(spark):
     day = date(2026, 9, 22)
     cases = {"22/09": day, "22-9": day, "22.09.2026": day, "22/SET": day, "22 SET. 2026": day, "22 SET": day, "22/set.2026": day, "22 de setembro": day, "22": day, "2026-9-22": day, "22/13": None, "22/xyz": None, "": None, None: None, "30/09": date(2026, 9, 30), "5/9/25": date(2025, 9, 5)}
     assert column(spark, list(cases), lambda c: dates.resolve_slip_date(c, start, end)) == list(cases.values())
+    # One mark, or "de" between spaces, on either side of the name, and nothing else.
+    strict = {"22--set": None, ".22 set": None, "22,set": None, "22de set": None, "22 de set de 26": None, "22 set..26": day, "22 set...26": None, "22SET2026": day, "22/set, 26": day, "22 set x": None, "22 - set - 2026": day, "22 set 026": None, "22 março!": None, "22//set": None}
+    assert column(spark, list(strict), lambda c: dates.resolve_slip_date(c, start, end)) == list(strict.values())
     across = lambda c: dates.resolve_slip_date(c, date(2025, 12, 20), date(2026, 1, 10))
     assert column(spark, ["28/12", "03/01", "15"], across) == [date(2025, 12, 28), date(2026, 1, 3), None]
 

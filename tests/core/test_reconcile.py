@@ -53,6 +53,16 @@ def test_findings(spark):
     with pytest.raises(ValueError, match="MIXED|OTHER"):
         validate.gate(validate.findings(ledger, acquirer, closings, START, END, "A"))
     assert [r.code for r in validate.findings(ledger, acquirer, closings, END, START, "A").collect()] == ["PERIOD"]
+    silent = spark.createDataFrame([("ledger", []), ("acquirer", ["A"])], "source string, companies array<string>")
+    own = closings.filter("company = 'A'")
+    for known, code in ((True, ("ERROR", "NOT_CONFIRMED")), (False, ("WARNING", "NOT_CONFIGURED"))):
+        found = validate.findings(ledger, acquirer, own, START, END, "A", silent, known)
+        assert code in {(r.severity, r.code) for r in found.collect()}
+        if known:
+            with pytest.raises(ValueError, match="NOT_CONFIRMED"):
+                validate.gate(found)
+        else:
+            validate.gate(found)
 
 
 def test_identity(spark):
@@ -135,6 +145,9 @@ def test_settings_and_companies(spark):
     assert {(r.company, r.kind, r.code) for r in config.company_codes(spark, companies).collect()} == {("N", "branch", "00007"), ("N", "tax_id", "00000000000012")}
     with pytest.raises(ValueError):
         config.selected(companies, "X")
+    assert config.identified(companies, "N") and not config.identified(companies, "S")
+    odd = config.layered("  x y = \"q = 1\"  \n=3\n#c=1\nempty=\n\nlast= 5 ", {})
+    assert dict(odd) == {"x y": "q = 1", "empty": "", "last": "5"}
 
 
 def test_sets_and_sums(spark):
