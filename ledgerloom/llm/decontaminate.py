@@ -5,13 +5,14 @@ ignored, so a seed survives their substitution. The seeds of the benchmark items
 every document are joined. For each document and item that share a seed, the item is laid over the document, without
 gaps, at every place at which a seed of theirs agrees, and the overlap is verified word by word: of the stretches with
 `SHARE` = 80 % or more equal words, wherever in them the substitutions lie, the one with the most matching words must
-have `LEAST`. All matching words of the item at the best place (most matching words, then shortest span, then first) are
-reported.
+have `LEAST`, or 80 % of the item's words if it has fewer than 15. All matching words of the item at the best place (most
+matching words, then shortest span, then first) are reported.
 
-The four masks keep five words each. Over 12 words, 13 with any one, 14 with any two, 15 with any three, 20 with any four
-or 25 with any five substituted, at least one of them still hits (checked over all placements in the tests).
-
-Items of SHORTEST to LEAST - 1 words have one seed of all their words and must occur whole.
+The four masks for items of 15 words and more keep five words each. Over 12 words, 13 with any one, 14 with any two, 15 with any
+three, 20 with any four or 25 with any five substituted, at least one of them still hits (checked over all placements in the
+tests). Shorter items may lack one word (5 to 9 words) or two (10 to 14), at whatever place, also where a text begins or ends
+inside them. Their masks keep every second or every third word: each such class of words holds the mask once, and what is
+lacking leaves one class whole. Items of five words have masks of any four of them.
 
 How it runs: the seeds of the items fill a Bloom filter (`FILTER_BITS` bits a seed, `MAX_FILTER` = 16 MB at most, whatever the
 size of the benchmark), which goes to all tasks. Documents are read once; those with a seed that passes are stored
@@ -41,14 +42,27 @@ MASKS = ((0, 2, 4, 5, 6), (0, 2, 3, 4, 9), (0, 1, 3, 4, 7), (0, 2, 6, 8, 9))
 LEAST, SHORTEST = 12, 5
 #: Of five words of a stretch four are equal.
 SHARE = (4, 5)
-#: What is hashed: the words that the masks keep, and for short items as many words as they have.
-KINDS = (*MASKS, *(tuple(range(n)) for n in range(SHORTEST, LEAST)))
+#: Masks of items of so many words: any four of five, every second word, every third word.
+SHORT_MASKS = {(5, 5): ((0, 1, 2, 3), (0, 2, 3, 4), (0, 1, 3, 4), (0, 1, 2, 4)), (6, 7): ((0, 2, 4),), (8, 9): ((0, 2, 4, 6),), (10, 11): ((0, 3, 6),), (12, 14): ((0, 3, 6, 9),)}
+#: What is hashed.
+KINDS = (*MASKS, *(mask for masks in SHORT_MASKS.values() for mask in masks))
 FACTORS = np.random.default_rng(3).integers(0, 1 << 63, (len(KINDS), LEAST), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 FILTER_BITS, FILTER_PROBES, MAX_FILTER = 64, 4, 1 << 27
 #: Items that are verified with one document at a time; seeds and item words up to which a side is broadcast.
 GROUP, MAX_SIDE = 256, 500_000
 
 
+def least(m: int) -> int:
+    """How many words of an item of m words must match."""
+    return min(LEAST, -(-SHARE[0] * m // SHARE[1]))
+
+
+def kinds_of(m: int) -> list[int]:
+    """The kinds of seeds of an item of m words."""
+    masks = next((x for (a, b), x in SHORT_MASKS.items() if a <= m <= b), MASKS if m >= SHORTEST else ())
+    return [KINDS.index(mask) for mask in masks]
+
+
 def seeds(hashes: np.ndarray, rows: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
     """The seeds of one kind and the word at which each starts; a seed stays inside its row."""
     kept = KINDS[kind]
@@ -94,7 +108,7 @@ class Text:
 def places(text: Text, item: np.ndarray) -> np.ndarray:
     """The words of the text at which the item would start, where a seed of theirs agrees; negative where it is cut off."""
     n, m, found = len(text.hashes), len(item), []
-    for kind in range(len(MASKS)) if m >= LEAST else [len(MASKS) + m - SHORTEST]:
+    for kind in kinds_of(m):
         known, at = text.sorted_seeds(kind)
         own, start = seeds(item, np.zeros(m, np.int8), kind)
         low, high = np.searchsorted(known, own, "left"), np.searchsorted(known, own, "right")
@@ -115,11 +129,10 @@ def laid(text: Text, item: np.ndarray, at: int) -> tuple[int, np.ndarray]:
 
 def seeded(first: int, equal: np.ndarray, m: int) -> bool:
     """Whether a seed agrees there."""
-    if m < LEAST:
-        return len(equal) == m and bool(equal.all())
-    if np.count_nonzero(equal) < len(MASKS[0]):
+    masks = [KINDS[k] for k in kinds_of(m)]
+    if np.count_nonzero(equal) < min(map(len, masks)):
         return False
-    return any(len(equal) > k[-1] and np.logical_and.reduce([equal[i : len(equal) - k[-1] + i] for i in k]).any() for k in MASKS)
+    return any(len(equal) > k[-1] and np.logical_and.reduce([equal[i : len(equal) - k[-1] + i] for i in k]).any() for k in masks)
 
 
 def best(text: Text, item: np.ndarray) -> tuple[int, int, int] | None:
@@ -128,17 +141,15 @@ def best(text: Text, item: np.ndarray) -> tuple[int, int, int] | None:
     for at in places(text, item).tolist():
         first, equal = laid(text, item, at)
         n = int(np.count_nonzero(equal))
-        if n >= min(m, LEAST):
+        if n >= least(m):
             where = np.flatnonzero(equal)
             found.append((-n, int(where[-1] - where[0]) + 1, at + first + int(where[0]), at))
             if n == m:
                 break  # no later place can be better
     for n, length, first, at in sorted(found):
         equal = laid(text, item, at)[1]
-        if m < LEAST:
-            return -n, length, first
         start, end = widest(equal)
-        if np.count_nonzero(equal[start:end]) >= LEAST:
+        if np.count_nonzero(equal[start:end]) >= least(m):
             return -n, length, first
     return None
 
@@ -153,8 +164,7 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kinds = []
             for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
                 m = b - a
-                of = range(len(MASKS)) if m >= LEAST else [len(MASKS) + m - SHORTEST] if m >= SHORTEST else []
-                kinds.append([(k, x) for k in of for x in np.unique(seeds(hashes[a:b], np.zeros(m, np.int8), k)[0]).view(np.int64).tolist()])
+                kinds.append([(k, x) for k in kinds_of(m) for x in np.unique(seeds(hashes[a:b], np.zeros(m, np.int8), k)[0]).view(np.int64).tolist()])
             found = pa.array([[{"kind": k, "seed": x} for k, x in own] for own in kinds], pa.list_(pa.struct([("kind", pa.int32()), ("seed", pa.int64())])))
             yield pa.RecordBatch.from_arrays([batch.column("item").slice(i, j - i), lists, found], ["item", "words", "seeds"])
 

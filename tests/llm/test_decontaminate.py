@@ -17,6 +17,21 @@ def test_masks_hit_wherever_a_fifth_of_the_words_is_substituted():
             assert any(not m & bits for m in need)
 
 
+@pytest.mark.parametrize("m", range(5, 15))
+def test_short_items_are_hit_wherever_words_are_lacking(m):
+    """All choices of the words that may lack, each also as words cut off at either end of a text."""
+    item = np.arange(100, 100 + m, dtype=np.uint64)
+    for gone in itertools.combinations(range(m), m - decontaminate.least(m)):
+        there = item.copy()
+        there[list(gone)] = 7
+        assert decontaminate.best(decontaminate.Text(np.r_[np.full(3, 5), there, np.full(2, 5)].astype(np.uint64)), item) is not None
+    lack = m - decontaminate.least(m)
+    assert decontaminate.best(decontaminate.Text(item[lack:]), item) and decontaminate.best(decontaminate.Text(item[: m - lack]), item)
+    worse = item.copy()
+    worse[: lack + 1] = 7
+    assert decontaminate.best(decontaminate.Text(worse), item) is None
+
+
 def brute(docs, items):
     split = lambda t: re.findall(r"[a-z0-9\x80-\xff]+", bytes(b + 32 if 65 <= b <= 90 else b for b in (t or "").encode()).decode("latin-1"))
     out = []
@@ -28,10 +43,8 @@ def brute(docs, items):
                 continue
             for at in range(-len(v), len(w)):
                 eq = [(w[at + q] == v[q]) for q in range(len(v)) if 0 <= at + q < len(w)]
-                if len(v) < 12:
-                    ok = len(eq) == len(v) and all(eq)
-                else:
-                    ok = any(sum(eq[i:j]) >= 12 and 5 * sum(eq[i:j]) >= 4 * (j - i) for i in range(len(eq)) for j in range(i + 12, len(eq) + 1)) if sum(eq) >= 12 else False
+                need = 12 if len(v) >= 15 else {5: 4, 6: 5, 7: 6, 8: 7, 9: 8, 10: 8, 11: 9, 12: 10, 13: 11, 14: 12}[len(v)]
+                ok = any(sum(eq[i:j]) >= need and 5 * sum(eq[i:j]) >= 4 * (j - i) for i in range(len(eq)) for j in range(i + need, len(eq) + 1)) if sum(eq) >= need else False
                 if ok:
                     where = [q for q, e in enumerate(eq) if e]
                     found.append((-sum(eq), where[-1] - where[0] + 1, max(0, at) + where[0]))
@@ -44,7 +57,7 @@ def brute(docs, items):
 def tables(rng):
     words = [f"w{i}" for i in range(500)] + ["é", "the", "The", "of"] * 20
     text = lambda n: " ".join(rng.choices(words, k=n))
-    items = [(k, text(rng.choice((5, 11, 12, 15, 30, 59)))) for k in range(40)] + [(40, None), (41, "")]
+    items = [(k, text(rng.choice((5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 30, 59)))) for k in range(40)] + [(40, None), (41, "")]
     docs = []
     for i in range(120):
         body = text(rng.randrange(0, 80)).split()
@@ -113,7 +126,7 @@ def test_empty_tables(spark):
 
 def test_items_with_a_fifth_of_their_words_substituted_are_found(spark):
     rng = random.Random(4)
-    items = [(k, " ".join(f"i{k}w{q}" for q in range(n))) for k, n in enumerate([15, 16, 19, 20, 25, 33, 40, 60] * 5)]
+    items = [(k, " ".join(f"i{k}w{q}" for q in range(n))) for k, n in enumerate([5, 6, 8, 9, 10, 11, 12, 13, 14, 15, 16, 19, 20, 25, 33, 40, 60] * 3)]
     docs = []
     for k, text in items:
         n = len(text.split())
@@ -123,9 +136,10 @@ def test_items_with_a_fifth_of_their_words_substituted_are_found(spark):
             gone = list(gone)[: n // 5]
             passage = ["changed" if q in gone else w for q, w in enumerate(text.split())]
             docs.append((len(docs), k, " ".join(["own"] * 7 + passage + ["words"] * 9)))
-    # Below 80 % everywhere: every third word substituted.
+    # Below 80 % everywhere: every third word substituted (of five words that is one, which may be).
     for k, text in items:
-        docs.append((len(docs), None, " ".join("changed" if q % 3 == 2 else w for q, w in enumerate(text.split()))))
+        if len(text.split()) > 5:
+            docs.append((len(docs), None, " ".join("changed" if q % 3 == 2 else w for q, w in enumerate(text.split()))))
     found = decontaminate.overlaps(spark.createDataFrame([(i, t) for i, _, t in docs], "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
     got = {(r.doc_id, r.item_id) for r in found.collect()}
     assert got == {(i, k) for i, k, _ in docs if k is not None}
