@@ -46,11 +46,24 @@ def companies_by_code(codes: DataFrame, companies: DataFrame) -> DataFrame:
     return codes.join(F.broadcast(companies.select("company", "code").distinct()), "code").groupBy("source").agg(F.array_sort(F.collect_set("company")).alias("companies"))
 
 
+#: Letters of the start of an alias by which texts meet it.
+GRAM = 4
+
+
 def companies_by_text(texts: DataFrame, companies: DataFrame) -> DataFrame:
-    """texts: source, text · companies: company, alias (configuration). source, companies whose alias the text contains."""
-    aliases = F.broadcast(companies.select("company", normalize_text(F.col("alias")).alias("alias")).distinct())
+    """texts: source, text · companies: company, alias (configuration). source, companies whose alias the text contains; blank aliases
+    mean no company.
+
+    An alias stands in a text only where its first letters do, so texts are cut into stretches of so many letters, which meet
+    the aliases by equality; what meets is then looked for as a whole. Shorter aliases are met by stretches of their own length.
+    """
+    alias = companies.select("company", normalize_text(F.col("alias")).alias("alias")).filter("alias <> ''").distinct().withColumn("gram", F.substring("alias", 1, GRAM))
+    lengths = [r.n for r in alias.select(F.length("gram").alias("n")).distinct().collect()]
     normal = texts.select("source", normalize_text(F.col("text")).alias("text"))
-    return normal.join(aliases, F.contains("text", "alias")).groupBy("source").agg(F.array_sort(F.collect_set("company")).alias("companies"))
+    stretches = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - n + 1)), lambda i: F.substring(F.col("text"), i, F.lit(n)))
+    grams = F.array_distinct(F.concat(F.array().cast("array<string>"), *[stretches(n) for n in sorted(lengths)]))
+    met = normal.withColumn("gram", F.explode(grams)).join(F.broadcast(alias), "gram").filter(F.contains("text", "alias"))
+    return met.groupBy("source").agg(F.array_sort(F.collect_set("company")).alias("companies"))
 
 
 def identity(found: DataFrame, selected: str, has_identifiers: bool) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from ledgerloom.operators.match import ALIKE, DIVERGENCES, MAX_DAYS, MIN_OTHER_DAY, MIN_SCORE, NOTES, PIECE_KINDS
+#: Fixed values, spelled out here so that a wrong one in the operator shows.
+ALIKE, MAX_DAYS, MIN_SCORE, MIN_OTHER_DAY = 2, 3, 7, 15
+PIECE_KINDS = ("PIECE_ONLY_SLIP", "PIECE_ONLY_LEDGER", "PIECE_VALUE")
+DIVERGENCES = ("SALE_WITHOUT_SLIP", "SLIP_WITHOUT_SALE", "PIECE_ONLY_SLIP", "PIECE_ONLY_LEDGER", "PIECE_VALUE")
+NOTES = ("CODE_MISREAD", "READING_ONLY", "OTHER_DAY", "TOTAL_MATCH")
 
 
 def distances(pairs: str) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.checkpoints import shared_folder
 from ledgerloom.functions.codes import code_distance
-from ledgerloom.operators import job, reconcile, shown, validate
+from ledgerloom.operators import job, reconcile, report, shown, validate
 from ledgerloom.plans.bindings import END, START, amount, for_duckdb, view, written
 from ledgerloom.plans.crosscheck_sql import distances
 from ledgerloom.plans.reconciliation import PERIOD, PRESENCE
@@ -69,14 +69,29 @@ def slip_stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     return slips.cached(spark, f"{at}/cache", "v1").select("hash", "page", "position", F.get_json_object("payload", "$.numero").alias("number"))
 
 
+def report_pages(spark: SparkSession, d: str) -> DataFrame:
+    """All ledger lines as pages of a report."""
+    rows = view(spark, d, "b_ledger").orderBy("seq")
+    table = rows.select(F.col("sale_number").alias("sale"), "code", "product", F.col("gross_cents").alias("cents"))
+    return report.paged(report.wrapped(report.laid_out(table), wide=24), per_page=50)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (closings_of_company, gross_by_date, source_sets, validation_findings, message_dedupe, hint_cap, job_progress, markdown_text, slip_grid, code_distance_any, slip_stream_ingest)
+    for f in (report_pages, closings_of_company, gross_by_date, source_sets, validation_findings, message_dedupe, hint_cap, job_progress, markdown_text, slip_grid, code_distance_any, slip_stream_ingest)
 }
 
 NAMES = ("ledger", "acquirer", "closing")
 
 ORACLE = {
+    # Columns as wide as their widest cell, lines of 24 characters, the rest of a line on the next; 50 lines a page.
+    "report_pages": for_duckdb(
+        "SELECT (n // 50) + 1 AS page, n % 50 + 1 AS line, text FROM (SELECT row_number() OVER (ORDER BY seq, k) - 1 AS n, substr(text, CAST(24 * k + 1 AS BIGINT), 24) AS text FROM ("
+        "SELECT seq, text, unnest(range(0, greatest(1, CAST(ceil(length(text) / 24) AS BIGINT)))) AS k FROM ("
+        "SELECT seq, rtrim(rpad(sale, CAST(w1 AS INTEGER), ' ') || '  ' || rpad(code, CAST(w2 AS INTEGER), ' ') || '  ' || rpad(product, CAST(w3 AS INTEGER), ' ') || '  ' || rpad(cents, CAST(w4 AS INTEGER), ' ')) AS text FROM ("
+        "SELECT *, max(length(sale)) OVER () AS w1, max(length(code)) OVER () AS w2, max(length(product)) OVER () AS w3, max(length(cents)) OVER () AS w4 FROM ("
+        "SELECT seq, sale_number AS sale, code, product, CAST(gross_cents AS VARCHAR) AS cents FROM b_ledger UNION ALL SELECT -1, 'sale', 'code', 'product', 'cents')))))"
+    ),
     "closings_of_company": for_duckdb("SELECT date, file_name, pix_cents, cash_cents, store_total_cents FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY seq) AS r FROM b_closing_file WHERE company = 'A') WHERE r = 1"),
     "gross_by_date": for_duckdb("SELECT date, CAST(sum(gross_cents * quantity) AS BIGINT) AS gross_cents FROM b_ledger GROUP BY date"),
     "source_sets": for_duckdb("SELECT count(*) AS records, string_agg(DISTINCT status, ',' ORDER BY status) AS statuses, string_agg(DISTINCT modality, ',' ORDER BY modality) AS modalities FROM b_acquirer"),

@@ -241,7 +241,7 @@ ORACLE |= {
         f"{crosscheck_sql.sources(SOURCE_DATE, START, END).replace('b_booked', 'b_ledger').replace('WHERE NOT suspect', '')}, own AS (SELECT slip, slip AS sale FROM sl WHERE slip IN (SELECT sale FROM sales)), {crosscheck_sql.piece_match('0', 'own')}",
         "SELECT slip, place, CAST(d AS BIGINT) AS distance, CAST(side AS BIGINT) AS side, CAST(bi AS BIGINT) AS bi, CAST(ci AS BIGINT) AS ci FROM matched0",
     ),
-    "pair_scores": on_pairs(PAIRS, f"SELECT slip, date AS slip_date, sale_date AS date, number AS sale_number, score FROM score1 JOIN sl USING (slip) JOIN sales USING (sale) WHERE score >= {match.MIN_SCORE}"),
+    "pair_scores": on_pairs(PAIRS, f"SELECT slip, date AS slip_date, sale_date AS date, number AS sale_number, score FROM score1 JOIN sl USING (slip) JOIN sales USING (sale) WHERE score >= {crosscheck_sql.MIN_SCORE}"),
     "day_assignment": on_pairs(PAIRS, "SELECT slip, sale_date AS date, number AS sale_number FROM day_pairs JOIN sales USING (sale)"),
     "total_only_match": on_pairs(PAIRS, "SELECT sale_date AS date, slip, number AS sale_number FROM total_pairs JOIN sales USING (sale)"),
     "other_day_match": on_pairs(PAIRS, "SELECT slip, date AS slip_date, sale_date AS date, number AS sale_number, score FROM other_pairs JOIN sl USING (slip) JOIN sales USING (sale)"),

@@ -10,6 +10,7 @@ from __future__ import annotations
 import io
 import json
 import os
+import posixpath
 import re
 import unicodedata
 import zipfile
@@ -37,14 +38,27 @@ def column_of(reference: str) -> int:
     return n - 1
 
 
+def sheet_files(z: zipfile.ZipFile) -> list[str]:
+    """The files of the sheets in the order in which the workbook shows them; by number where it does not say, and those that it does
+    not name last."""
+    names = z.namelist()
+    files = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"(\d+)\.xml", n)[1]))
+    if not {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= set(names):
+        return files
+    targets = {r.get("Id"): posixpath.normpath(posixpath.join("xl", r.get("Target") or "")).lstrip("/") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+    shown = [targets.get(next((v for k, v in s.attrib.items() if k.endswith("}id")), None)) for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{NS}sheet")]
+    first = [f for f in dict.fromkeys(shown) if f in names]
+    return first + [f for f in files if f not in first]
+
+
 def sheets(content: bytes) -> Iterator[list[list[str | None]]]:
-    """The rows of each sheet, in the order of the sheets' files."""
+    """The rows of each sheet, in the order of the workbook; a sheet is parsed when it is asked for."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = z.namelist()
         shared = []
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in si.iter(f"{NS}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{NS}si")]
-        for name in sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"(\d+)\.xml", n)[1])):
+        for name in sheet_files(z):
             rows = []
             for row in ElementTree.fromstring(z.read(name)).iter(f"{NS}row"):
                 cells: dict[int, str] = {}

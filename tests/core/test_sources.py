@@ -144,6 +144,19 @@ def test_files_are_used_whole_or_not_at_all(spark):
     assert hints["good"] == "02/07/2026 ana" and hints["bad"] == "02/07/2026 ana x b"
 
 
+def test_sheets_come_in_the_order_of_the_workbook():
+    body = lambda text: f'<worksheet xmlns="{xlsx.NS[1:-1]}"><sheetData><row r="1"><c r="A1" t="inlineStr"><is><t>{text}</t></is></c></row></sheetData></worksheet>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for k in (1, 2, 3, 4):
+            z.writestr(f"xl/worksheets/sheet{k}.xml", body(f"s{k}"))
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{xlsx.NS[1:-1]}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="a" sheetId="9" r:id="x"/><sheet name="b" sheetId="2" r:id="y"/><sheet name="c" sheetId="3" r:id="z"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="x" Target="worksheets/sheet3.xml"/><Relationship Id="y" Target="/xl/worksheets/sheet1.xml"/><Relationship Id="z" Target="worksheets/sheet4.xml"/></Relationships>')
+    assert [rows[0][0] for rows in xlsx.sheets(out.getvalue())] == ["s3", "s1", "s4", "s2"]
+    found = xlsx.records(out.getvalue(), {"f": ["s4", "s1"]}, {})
+    assert found == []  # the header of the second sheet shown, not of the first by number
+
+
 def test_transcription_and_cache(spark, tmp_path):
     grey = page((20, 180), (220, 400))
     pages = spark.createDataFrame([("h", "f.pdf", 1, 600, 200, bytearray(grey.tobytes()), slips.empty_runs(grey))], "hash string, source_file string, page int, width int, height int, pixels binary, empty array<struct<lo int, hi int>>")
@@ -225,6 +238,11 @@ def test_report(spark):
     assert "| TOTAL | 1,50 |" in text
     made = report.pdf("Report", [("Days", table)] * 30)
     assert made.startswith(b"%PDF") and b"page 2 of" in made
+    long = spark.createDataFrame([("x", "word " * 60 + "(end)")], "a string, b string")
+    assert b"\\(end\\)" in report.pdf("Report", [("Long", long)])
+    many = spark.range(1000, numPartitions=7).select(F.col("id").cast("string").alias("text"))
+    assert [(r.page, r.line, r.text) for r in report.paged(many.orderBy(F.desc(F.col("text").cast("int"))), 60).orderBy("page", "line").collect()] == [(k // 60 + 1, k % 60 + 1, str(999 - k)) for k in range(1000)]
+    assert [r.text for r in report.wrapped(spark.createDataFrame([("abcdefg",), ("",), ("abc",)], "text string"), 3).collect()] == ["abc", "def", "g", "", "abc"]
     wide = spark.createDataFrame([(date(2026, 9, 1), *range(7))], "date date, " + ", ".join(f"s{i} bigint" for i in range(7)))
     assert [len(b.columns) for b in report.seller_blocks(wide, [f"s{i}" for i in range(7)])] == [6, 3]
 
