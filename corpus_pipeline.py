@@ -6,6 +6,10 @@ near_dedup    one document of each SimHash component stays
 decontaminate documents that overlap with a benchmark item go
 bpe           ids of every text, and the text that they decode to
 
+Null and empty texts pass the stages as their operators say (a null text stays null, and is decoded as an empty one); repeated rows are
+documents of their own until near_dedup keeps one of them; null ids are kept; empty tables give empty results; further columns of
+documents come through, whatever their names; a text of any length is one text.
+
 All but the last return the columns of documents. SQL cannot express the stages (learned model, content-defined
 chunks, 64-bit XXH64 fingerprints, spaced seeds, BPE), so ORACLE_SQL is None and tests/llm compares each
 stage with a plain version on a small fixture.
@@ -18,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, decontaminate, line_dedup, quality, simhash
-from ledgerloom.llm.common import stored, table
+from ledgerloom.llm.common import quoted, stored, table
 
 ORACLE_SQL = None
 
@@ -29,7 +33,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = line_dedup.deduplicated(docs, is_table=True)
-    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*[quoted(c) for c in docs.columns])
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,6 +51,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def quoted(name: str) -> Column:
+    """The column of that name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names for working columns that df lacks, whatever columns a caller brings along."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import checkpointed, fresh, frugal, numbered, stored
+from ledgerloom.llm.common import checkpointed, fresh, frugal, numbered, quoted, stored
 
 WORDS, SEED, RADIUS = 4, 42, 4
 SEGMENTS = ((0, 22), (22, 43), (43, 64))
@@ -136,4 +136,4 @@ def one_of_each(docs: DataFrame, is_table: bool = False) -> DataFrame:
     (row,) = fresh(docs, "row")
     rows = numbered(docs, row, is_table)
     stay = _joined(_prints(rows, row)).filter("stays").select(F.col("place").alias(row))
-    return rows.join(stay, row, "left_semi").select(docs.columns)
+    return rows.join(stay, row, "left_semi").select(*[quoted(c) for c in docs.columns])

@@ -103,3 +103,9 @@ def test_one_document_of_each_component_stays(spark):
     left = simhash.one_of_each(docs)
     assert left.columns == docs.columns
     assert sorted(((r.doc_id, r.fp) for r in left.collect()), key=str) == sorted([(3, "a"), (9, "c"), (None, "d"), (None, None)], key=str)
+
+
+def test_columns_of_any_name_come_through(spark):
+    docs = spark.createDataFrame([(1, "a b c d e", 5, 1), (2, "a b c d e", 6, 2), (3, "quite another text than that", 7, 3)], "doc_id bigint, text string, `a.b` int, `c``d` int")
+    got = simhash.one_of_each(docs)
+    assert got.columns == docs.columns and sorted(tuple(r)[0] for r in got.collect()) == [1, 3]
