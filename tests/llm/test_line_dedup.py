@@ -9,31 +9,54 @@ from ledgerloom.llm.common import numbered
 SCHEMA = "doc_id bigint, text string, h string, first string, s string"
 
 
-def chunked(spark, docs):
-    """The chunks as the operator cuts them: the boundaries are its own, what happens to them is tested."""
-    df = line_dedup.bounded(numbered(docs.select("doc_id", "text"), line_dedup.ROW), line_dedup.SPREAD)
-    return [(r.doc_id, r[line_dedup.ROW], r.text, r[line_dedup.ENDS]) for r in df.collect()]
+def placed(spark, docs):
+    """(doc_id, place, text) of every row; the place only says which of the rows of one doc_id comes first."""
+    return [(r.doc_id, r[line_dedup.ROW], r.text) for r in numbered(docs.select("doc_id", "text"), line_dedup.ROW).collect()]
+
+
+def boundaries(texts):
+    """For each text the ends of its chunks and its repeated pairs, from the definition."""
+    seen = defaultdict(list)
+    for t in texts:
+        for i in range(1, len(t)):
+            seen[t[i - 1], t[i]].append((t[i - 2] if i > 1 else None, t[i + 1] if i + 1 < len(t) else None))
+    for t in texts:
+        ends, repeated = {len(t)}, set()
+        for i in range(1, len(t)):
+            around = seen[t[i - 1], t[i]]
+            if len(around) == 1:
+                ends.add(i)
+                continue
+            repeated.add(i)
+            if len({l for l, _ in around}) > 1:
+                ends.add(i - 1)
+            if len({r for _, r in around}) > 1:
+                ends.add(i + 1)
+        yield sorted(ends - {0}), repeated
 
 
 def brute(rows):
     rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-    seen, out = set(), defaultdict(list)
-    for doc_id, row, text, ends in rows:
-        if text is None:
-            out[row] = (doc_id, None, [])
-            continue
-        lines, kept, spans, at = text.split("\n"), [], [], 0
-        for e in ends:
-            piece = tuple(lines[at:e])
-            if e - at >= line_dedup.LEAST and piece in seen:
-                spans.append((at, e))
-            else:
-                kept += piece
-            if e - at >= line_dedup.LEAST:
-                seen.add(piece)
-            at = e
-        assert at == len(lines)
-        out[row] = (doc_id, "\n".join(kept), spans)
+    out = {row: (doc_id, None, []) for doc_id, row, text in rows if text is None}
+    texts = [(doc_id, row, text.split("\n")) for doc_id, row, text in rows if text is not None]
+    # Spans of lines that may go: chunks, and repeated pairs with a line that is a chunk of its own.
+    spans, first = [], {}
+    for k, ((_, _, t), (ends, repeated)) in enumerate(zip(texts, boundaries([x[2] for x in texts]))):
+        cut = list(zip([0, *ends], ends))
+        alone = {s for s, e in cut if e - s == 1}
+        spans.append((alone, [x for x in cut if x[1] - x[0] > 1], [(i - 1, i + 1) for i in sorted(repeated) if {i - 1, i} & alone]))
+        for s, e in sorted(spans[-1][1] + spans[-1][2]):
+            first.setdefault(tuple(t[s:e]), (k, s))
+    for k, ((doc_id, row, t), (alone, chunks, pairs)) in enumerate(zip(texts, spans)):
+        gone = [(s, e) for s, e in chunks if first[tuple(t[s:e])] != (k, s)]
+        whole = {i for s, e in gone for i in range(s, e)}
+        lines = set()
+        for s, e in pairs:
+            f = first[tuple(t[s:e])]
+            if f in ((k, s), (k, s - 1)):
+                continue
+            lines |= {i for i, other in ((s, s + 1), (s + 1, s)) if i in alone and (other in alone or other in whole)}
+        out[row] = (doc_id, "\n".join(x for i, x in enumerate(t) if i not in whole | lines), sorted(gone + [(i, i + 1) for i in lines]))
     return sorted(out.values(), key=str)
 
 
@@ -55,7 +78,7 @@ def test_matches_brute_force(spark, seed):
     got = line_dedup.deduplicated(docs, cut="spans")
     assert got.columns == [*docs.columns, "spans"]
     got = sorted(((r.doc_id, r.text, [tuple(x) for x in r["spans"]]) for r in got.collect()), key=str)
-    want = brute(chunked(spark, docs))
+    want = brute(placed(spark, docs))
     assert got == want
     assert sum(len(x[2]) for x in want) > 50
 
@@ -108,3 +131,32 @@ def test_clashing_names_shuffled_input_and_a_long_text(spark):
     assert {r[1:] for r in map(lambda r: (r[0], r[1], r[2], str(r[3])), got)} == {(r[1], r[2], str(r[3])) for r in want}
     with pytest.raises(ValueError):
         line_dedup.deduplicated(docs, cut="__llm_cut")
+
+
+def test_forked_passages_go_whole(spark):
+    """Recall of the words in passages that occur before, found without the operator's chunks."""
+    rng = random.Random(11)
+    pieces = [[f"piece {k} {i} " + "word " * 8 for i in range(rng.randrange(1, 4))] for k in range(14)]
+    own = lambda i: [f"own {i} {rng.random()}" for _ in range(rng.randrange(1, 4))]
+    rows = []
+    for i in range(80):
+        middle = [line for _ in range(rng.randrange(2, 7)) for line in rng.choice(pieces)]
+        rows.append((i, "\n".join(own(i) + middle + own(i))))
+    left = {r.doc_id: r for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string"), cut="spans").collect()}
+    before, repeated, gone, clean = set(), 0, 0, 0
+    for i, text in rows:
+        t = text.split("\n")
+        cut = {k for s, e in left[i]["spans"] for k in range(s, e)}
+        again = {k for k in range(len(t)) if (k and tuple(t[k - 1 : k + 1]) in before) or tuple(t[k : k + 2]) in before}
+        inside = {k for k in range(len(t)) if (k and t[k - 1 : k + 1] in [t[j : j + 2] for j in range(k - 1)]) or t[k : k + 2] in [t[j : j + 2] for j in range(k)]}
+        repeated += sum(len(t[k].split()) for k in again)
+        gone += sum(len(t[k].split()) for k in again & cut)
+        clean += len(cut - again - inside)
+        before |= {tuple(t[k : k + 2]) for k in range(len(t) - 1)}
+    assert repeated > 4_000 and gone >= 0.97 * repeated and clean == 0
+
+
+def test_a_run_of_equal_lines_keeps_its_first_pair(spark):
+    rows = [(0, "x\na\na\na\na\na\ny"), (1, "p\na\na\na\nq"), (2, "a"), (3, "r\na\ns")]
+    left = {r.doc_id: r.text for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert left == {0: "x\na\na\ny", 1: "p\nq", 2: "a", 3: "r\na\ns"}

@@ -43,7 +43,7 @@ def test_each_stage_matches_its_plain_version(spark, tmp_path):
 
     cut = stored(steps["line_dedup"](spark, kept, d))
     assert cut.columns == columns
-    want = [(i, t) for i, t, _ in test_line_dedup.brute(test_line_dedup.chunked(spark, kept))]
+    want = [(i, t) for i, t, _ in test_line_dedup.brute(test_line_dedup.placed(spark, kept))]
     assert sorted(((r.doc_id, r.text) for r in cut.collect()), key=str) == sorted(want, key=str)
     assert all(r.n_chars == (len(r.text) if r.text is not None else None) for r in cut.collect())
 
