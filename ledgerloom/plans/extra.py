@@ -14,7 +14,7 @@ from ledgerloom.plans.bindings import END, START, amount, for_duckdb, view, writ
 from ledgerloom.plans.crosscheck_sql import distances
 from ledgerloom.plans.reconciliation import PERIOD, PRESENCE
 from ledgerloom.sources import slips
-from ledgerloom.streaming import ingest
+from ledgerloom.streaming import ingest, reading
 
 
 def closings_of_company(spark: SparkSession, d: str) -> DataFrame:
@@ -69,6 +69,23 @@ def slip_stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     return slips.cached(spark, f"{at}/cache", "v1").select("hash", "page", "position", F.get_json_object("payload", "$.numero").alias("number"))
 
 
+def slip_read_states(spark: SparkSession, d: str) -> DataFrame:
+    """What becomes of every slot of b_stream when a client cannot read some, and is busy once, twice or always for others."""
+    at = f"{shared_folder(spark)}/reading-{uuid.uuid4().hex}"
+    view(spark, d, "b_stream").select(F.lit("slot").alias("kind"), "hash", "page", "position").write.json(f"{at}/events/slots")
+    digit = F.col("page") % 10
+    bad, busy = F.col("page") % 7 == 3, (digit == 0) | (digit <= 2) & (F.col("attempt") <= digit)
+
+    def ask(asked: DataFrame) -> DataFrame:
+        error = F.when(bad, "unreadable").when(busy, "busy")
+        return asked.select("*", error.alias("error"), (~bad).alias("retryable"), F.when(error.isNull(), F.concat(F.lit("read "), "page")).alias("body"))
+
+    job = reading.start(spark, f"{at}/events", ask, f"{at}/results", f"{at}/state", lanes=8, in_flight=1000, tries=3, pause_ms=100)
+    if not job.settle(3600):
+        raise TimeoutError(f"{job.open()} slots are not settled")
+    return reading.settled(spark, f"{at}/results")
+
+
 def report_pages(spark: SparkSession, d: str) -> DataFrame:
     """All ledger lines as pages of a report."""
     rows = view(spark, d, "b_ledger").orderBy("seq")
@@ -78,7 +95,7 @@ def report_pages(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (report_pages, closings_of_company, gross_by_date, source_sets, validation_findings, message_dedupe, hint_cap, job_progress, markdown_text, slip_grid, code_distance_any, slip_stream_ingest)
+    for f in (report_pages, closings_of_company, gross_by_date, source_sets, validation_findings, message_dedupe, hint_cap, job_progress, markdown_text, slip_grid, code_distance_any, slip_stream_ingest, slip_read_states)
 }
 
 NAMES = ("ledger", "acquirer", "closing")
@@ -121,4 +138,10 @@ ORACLE = {
     ),
     "code_distance_any": for_duckdb(f"SELECT k, a, b, CAST(distance AS BIGINT) AS distance FROM b_code_any JOIN ({distances("(SELECT DISTINCT a, b FROM b_code_any)")}) USING (a, b)"),
     "slip_stream_ingest": for_duckdb("SELECT hash, page, position, CAST(page AS VARCHAR) AS number FROM b_stream JOIN b_orders ON page = k WHERE k % 5 < 3"),
+    "slip_read_states": for_duckdb(
+        "SELECT hash, page, position, CASE WHEN page % 7 = 3 OR page % 10 = 0 THEN 'failed' ELSE 'done' END AS status, "
+        "CAST(CASE WHEN page % 7 = 3 THEN 1 WHEN page % 10 = 0 THEN 3 WHEN page % 10 <= 2 THEN page % 10 + 1 ELSE 1 END AS INTEGER) AS attempts, "
+        "CASE WHEN page % 7 = 3 THEN 'unreadable' WHEN page % 10 = 0 THEN 'busy' END AS error, "
+        "CASE WHEN page % 7 <> 3 AND page % 10 <> 0 THEN 'read ' || CAST(page AS VARCHAR) END AS body FROM b_stream"
+    ),
 }
