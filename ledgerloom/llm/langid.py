@@ -7,9 +7,10 @@
    letters precede them; a discount for each language and length (n1 / (n1 + 2 n2)); the probability of each window's
    last letter, interpolated with that of the shorter window; and for each context the weight with which a letter unseen
    after it is looked up in the shorter one. The shortest falls back to one over the size of all languages' alphabet.
-3. The models are sorted arrays of 64-bit hashes with two numbers each. Together they hold `entries` windows at most, so
-   that their broadcast is bounded (16 bytes each): a window has one place in its language's share, and of several with
-   the same place the shortest, then most frequent, is held; the others are looked up in the shorter window.
+3. The most frequent windows are broadcast as one sorted array of 64-bit hashes with a number for each language, `entries`
+   numbers at most (8 bytes a window, 4 a number). A window that is not among them, be it rare or never learned, is
+   written out with its text's row and how often it is there. The distinct ones are settled by joins with the whole tables
+   of step 2 and joined back, so a text's sum is the same whatever `entries` is, up to rounding.
 4. A text's cross-entropy under a language is the mean over its letters, so length does not matter; the least wins. The
    distinct windows of some two million letters are looked up together.
 5. One learning document in CALIBRATION is not counted but calibrates: how often the winner is right by how far it is
@@ -29,13 +30,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import frugal, quoted, stored, unclaimed
 
-ORDER, ENTRIES = 5, 1 << 21
+ORDER, ENTRIES = 5, 1 << 22
 CALIBRATION, REJECTED, LEAST_SCORE = 8, 0.005, 0.5
 UNKNOWN = "und"
 #: Letters of a text read at once, and letters of all texts looked up together.
@@ -136,131 +136,161 @@ def counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
     return known.mapInArrow(frugal(_counted), "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def estimates(grams: DataFrame, alphabet: int) -> DataFrame:
-    """lang, gram, n, p (of its last letter after the others; null where it was a context only) and back (the weight of the shorter window
-    for letters unseen after it; null where it was no context). The empty gram is the context of single letters."""
-    levels = {ORDER: grams}
+def _each(n: int, one: Callable[[int], Column]) -> Column:
+    """An array with a value for each of n languages."""
+    return F.array(*[one(i) for i in range(n)])
+
+
+def _of(column: str, i: int) -> Column:
+    return F.get(column, F.lit(i))
+
+
+def estimates(grams: DataFrame, langs: list[str], alphabet: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """By length, from 1: (gram, n, p), how often each language has the window and, under each, the probability of its last letter after the
+    others. By length, from 0: (context, back), the weight of the shorter window for letters unseen after it (1 where a language lacks it)."""
+    size = len(langs)
+    counted = _each(size, lambda i: F.coalesce(F.sum(F.when(F.col("lang") == langs[i], F.col("n"))), F.lit(0)))
+    levels = {ORDER: stored(grams.groupBy("gram").agg(counted.alias("n")))}
+    seen = [F.count_if(_of("n", i) > 0) for i in range(size)]
     for k in range(ORDER - 1, 0, -1):
-        levels[k] = stored(levels[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n")))
-    out, below = None, None
+        levels[k] = stored(levels[k + 1].groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.array(*seen).alias("n")))
+    chances, backs = [], []
     for k in range(1, ORDER + 1):
+        rare = levels[k].agg(*[F.count_if(_of("n", i) == x) for i in range(size) for x in (1, 2)]).first()
+        cuts = [min(0.95, n1 / (n1 + 2 * n2)) if n1 else 0.5 for n1, n2 in zip(rare[::2], rare[1::2], strict=True)]
         rows = levels[k].withColumn("context", F.substring("gram", 1, k - 1))
-        rare = levels[k].groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"))
-        cut = rare.select("lang", F.when(F.col("n1") == 0, 0.5).otherwise(F.least(F.lit(0.95), F.col("n1") / (F.col("n1") + 2 * F.col("n2")))).alias("cut"))
-        after = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).join(F.broadcast(cut), "lang")
-        after = after.select("lang", "context", "total", "cut", (F.col("cut") * F.col("kinds") / F.col("total")).alias("back"))
-        rows = rows.join(after, ["lang", "context"])
-        if below is None:
-            shorter = F.lit(1.0 / alphabet)
+        after = rows.groupBy("context").agg(_each(size, lambda i: F.sum(_of("n", i))).alias("total"), F.array(*seen).alias("kinds"))
+        back = _each(size, lambda i: F.when(_of("total", i) > 0, F.lit(cuts[i]) * _of("kinds", i) / _of("total", i)).otherwise(1.0))  # noqa: B023
+        after = after.select("context", "total", back.alias("back"))
+        rows = rows.join(after, "context")
+        if chances:
+            below = chances[-1].select(F.col("gram").alias("shorter"), F.col("p").alias("less"))
+            rows = rows.join(below, F.substring("gram", 2, k - 1) == F.col("shorter"))
         else:
-            rows = rows.join(below, (F.col("lang") == F.col("__lang")) & (F.substring("gram", 2, k - 1) == F.col("__gram")))
-            shorter = F.col("__p")
-        rows = stored(rows.select("lang", "gram", "n", (F.greatest(F.col("n") - F.col("cut"), F.lit(0.0)) / F.col("total") + F.col("back") * shorter).alias("p")))
-        below = rows.select(F.col("lang").alias("__lang"), F.col("gram").alias("__gram"), F.col("p").alias("__p"))
-        none = F.lit(None).cast("double")
-        both = rows.withColumn("back", none).unionByName(after.select("lang", F.col("context").alias("gram"), F.col("total").alias("n"), none.alias("p"), "back"))
-        out = both if out is None else out.unionByName(both)
-    return out.groupBy("lang", "gram").agg(F.max("n").alias("n"), F.max("p").alias("p"), F.max("back").alias("back"))
+            rows = rows.withColumn("less", F.array_repeat(F.lit(1.0 / alphabet), size))
+        p = _each(size, lambda i: F.greatest(_of("n", i) - cuts[i], F.lit(0.0)) / F.greatest(_of("total", i), F.lit(1)) + _of("back", i) * _of("less", i))  # noqa: B023
+        chances.append(stored(rows.select("gram", "n", p.alias("p"))))
+        backs.append(after.select("context", "back"))
+    return chances, backs
 
 
 @dataclass
 class Model:
-    """Of each language the sorted hashes of its windows, the logarithms of their probability and of their weight as a context."""
+    """The most frequent windows as sorted hashes with the logarithms of their probability under each language, and the tables of `estimates`,
+    which settle any other window."""
 
     langs: list[str]
-    hashes: list[np.ndarray]
-    logs: list[np.ndarray]  # NaN where the window is a context only
-    backs: list[np.ndarray]
-    floors: list[float]  # of a letter that the language has not seen
-
-    def found(self, k: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys = self.hashes[k]
-        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        return at, keys[at] == h
-
-    def log_probabilities(self, grams: np.ndarray) -> np.ndarray:
-        """Of the last code of each row of ORDER codes, under each language."""
-        own = [hashed(grams[:, ORDER - k :]) for k in range(1, ORDER + 1)]
-        before = [hashed(grams[:, ORDER - k : ORDER - 1]) for k in range(1, ORDER + 1)]
-        out = np.zeros((len(self.langs), len(grams)))
-        for lang in range(len(self.langs)):
-            open_ = np.arange(len(grams))
-            for k in range(ORDER, 0, -1):
-                at, hit = self.found(lang, own[k - 1][open_])
-                value = self.logs[lang][at]
-                hit &= ~np.isnan(value)
-                out[lang, open_[hit]] += value[hit]
-                open_ = open_[~hit]
-                if k > 1:
-                    at, hit = self.found(lang, before[k - 1][open_])
-                    out[lang, open_[hit]] += self.backs[lang][at[hit]]
-            out[lang, open_] += self.floors[lang]
-        return out
+    alphabet: int
+    hashes: list[np.ndarray]  # of one table
+    logs: list[np.ndarray]  # by language
+    chances: list[DataFrame]
+    backs: list[DataFrame]
+
+    def settled(self, grams: DataFrame) -> DataFrame:
+        """(gram, logs) of distinct windows, by joins with all that was learned."""
+        size = len(self.langs)
+        rows = grams.withColumn("p", F.array_repeat(F.lit(1.0 / self.alphabet), size))
+        for k in range(1, ORDER + 1):
+            known = self.chances[k - 1].select(F.col("gram").alias("own"), F.col("p").alias("known"))
+            context = self.backs[k - 1]
+            # Single letters are few, and much has the same.
+            if k <= 2:
+                context = F.broadcast(context)
+            if k == 1:
+                known = F.broadcast(known)
+            rows = rows.join(known, F.substring("gram", ORDER + 1 - k, k) == F.col("own"), "left")
+            rows = rows.join(context, F.substring("gram", ORDER + 1 - k, k - 1) == F.col("context"), "left")
+            shorter = _each(size, lambda i: F.coalesce(_of("back", i), F.lit(1.0)) * _of("p", i))
+            rows = rows.select("gram", F.coalesce("known", shorter).alias("p"))
+        return rows.select("gram", F.transform("p", _log).alias("logs"))
+
+
+def _log(p: Column) -> Column:
+    return F.log(p).cast("float")
+
+
+def _frequent(grams: DataFrame, most: int) -> DataFrame:
+    """The windows from some count on, `most` at most; counts within half an octave are held together or not at all."""
+    rows = grams.withColumn("bin", F.floor(F.log2(F.aggregate("n", F.lit(0).cast("bigint"), lambda a, x: a + x)) * 2))
+    held, least = 0, None
+    for r in rows.groupBy("bin").agg(F.count("*").alias("kinds")).sort(F.desc("bin")).collect():
+        held += r.kinds
+        if held > most:
+            break
+        least = r.bin
+    return rows.filter(F.lit(False) if least is None else F.col("bin") >= least)
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", entries: int = ENTRIES) -> Model:
-    """The models of the languages of docs."""
+    """The models of the languages of docs. `entries` bounds the numbers that are broadcast, not what is known."""
     grams = stored(counts(docs, text, lang))
     langs = [r.lang for r in grams.select("lang").distinct().sort("lang").collect()]
     if not langs:
-        return Model([], [], [], [], [])
+        return Model([], 1, [np.zeros(0, np.uint64)], [], [], [])
     alphabet = grams.select(F.substring("gram", ORDER, 1)).distinct().count() + 1
-    share = max(1, entries // len(langs))
-    held = F.max_by(F.struct("gram", "p", "back"), F.struct(-F.length("gram"), "n", "gram"))
-    rows = estimates(grams, alphabet).groupBy("lang", F.pmod(F.xxhash64("gram"), F.lit(share)).alias("place")).agg(held.alias("x"))
-    model = rows.select("lang", "x.gram", F.log("x.p").cast("float").alias("p"), F.log("x.back").cast("float").alias("back")).toArrow()
-    kind = model["lang"].combine_chunks().dictionary_encode()
-    names = kind.dictionary.to_pylist()
-    out = Model(langs, [], [], [], [])
-    for name in langs:
-        own = model.filter(pc.equal(model["lang"], name)) if name in names else model.slice(0, 0)
-        grams_ = own["gram"].to_pylist()
-        h = np.array([_hash(g) for g in grams_], np.uint64)
-        order = np.argsort(h)
-        logs = own["p"].to_numpy().astype(np.float32)[order]
-        backs = np.nan_to_num(own["back"].to_numpy().astype(np.float32), nan=0.0)[order]
-        out.hashes.append(h[order])
-        out.logs.append(logs)
-        out.backs.append(backs)
-        out.floors.append(float(backs[order.tolist().index(grams_.index(""))]) - float(np.log(alphabet)) if "" in grams_ else -float(np.log(alphabet)))
-    return out
-
-
-def _hash(gram: str) -> int:
-    h = 0
-    for c in gram:
-        h = (h * int(_BASE) + ord(c)) & 0xFFFFFFFFFFFFFFFF
-    return h
+    chances, backs = estimates(grams, langs, alphabet)
+    held = _frequent(chances[-1], entries // len(langs)).select("gram", *[_log(_of("p", i)).alias(f"l{i}") for i in range(len(langs))]).toArrow()
+    h = hashed(np.frombuffer("".join(held["gram"].to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, ORDER))
+    order = np.argsort(h)
+    return Model(langs, alphabet, [h[order]], [held[f"l{i}"].to_numpy()[order] for i in range(len(langs))], chances, backs)
 
 
-def _scored(model: Model) -> Callable:
-    n_langs = len(model.langs)
+def _scored(keys: np.ndarray, logs: list[np.ndarray]) -> Callable:
+    """Of rows (text, row, ...): a row each with its windows and, for each language, the sum of the logarithms of those that are held; and
+    a row for each distinct window of a piece of text that is not held, with how often it is there."""
+    n_langs = len(logs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            names = [*batch.schema.names[1:], "letters", "sums", "gram", "n"]
             n, sums = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, n_langs))
             for codes, rows, starts in together(batch.column(0).cast(pa.large_binary())):
                 at, h = windows(codes, starts)
                 sizes = np.diff(np.append(starts, len(codes))) - (ORDER - 1)
                 ends = np.cumsum(sizes)
                 np.add.at(n, rows, sizes)
-                if n_langs:
-                    _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-                    logs = model.log_probabilities(codes[at[first][:, None] + np.arange(ORDER)])
-                    for k in range(n_langs):
-                        np.add.at(sums[:, k], rows, np.add.reduceat(logs[k][inverse], ends - sizes))
-            entropy = -sums / np.maximum(n, 1)[:, None]
-            values = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * n_langs, pa.int32()), pa.array(entropy.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n), values], names=[*batch.schema.names[1:], "letters", "entropies"])
+                if not n_langs:
+                    continue
+                distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+                place = np.searchsorted(keys, distinct)
+                held = place < len(keys)
+                held[held] = keys[place[held]] == distinct[held]
+                for k in range(n_langs):
+                    values = np.zeros(len(distinct))
+                    values[held] = logs[k][place[held]]
+                    np.add.at(sums[:, k], rows, np.add.reduceat(values[inverse], ends - sizes))
+                lacking = np.flatnonzero(~held[inverse])
+                pairs, times = np.unique(np.repeat(rows, sizes)[lacking] * len(distinct) + inverse[lacking], return_counts=True)
+                for i in range(0, len(pairs), PIECE):
+                    own, which = np.divmod(pairs[i : i + PIECE], len(distinct))
+                    grams = np.ascontiguousarray(codes[at[first[which]][:, None] + np.arange(ORDER)]).view(f"<U{ORDER}").ravel()
+                    kept = [pa.nulls(len(own), c.type) for c in batch.columns[2:]]
+                    open_ = [batch.column(1).take(pa.array(own)), *kept, pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.list_(pa.float64()))]
+                    yield pa.RecordBatch.from_arrays([*open_, pa.array(grams.tolist(), pa.string()), pa.array(times[i : i + PIECE], pa.int64())], names=names)
+            values = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * n_langs, pa.int32()), pa.array(sums.ravel()))
+            none = [pa.nulls(batch.num_rows, t) for t in (pa.string(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n), values, *none], names=names)
 
     return run
 
 
 def entropies(docs: DataFrame, model: Model, *keep: str, text: str = "text") -> DataFrame:
     """The columns `keep`, letters (windows of the text) and entropies (nats a letter, under each language)."""
-    rows = docs.select(F.col(text).cast("string").alias("__text"), *keep)
-    kinds = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]]
-    return rows.mapInArrow(frugal(_scored(model)), ", ".join([*kinds, "letters bigint", "entropies array<double>"]))
+    kept = docs.select(*keep)
+    # Under names of our own until the end. The numbers hold within the one job that writes all rows.
+    rows = docs.select(F.col(text).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"), *[quoted(c).alias(f"k{i}") for i, c in enumerate(kept.columns)])
+    kinds = [f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(kept.schema.fields)]
+    scored = stored(rows.mapInArrow(frugal(_scored(model.hashes[0], model.logs)), ", ".join(["row bigint", *kinds, "letters bigint", "sums array<double>", "gram string", "n bigint"])))
+    texts, open_ = scored.filter("letters is not null"), scored.filter("gram is not null").select("row", "gram", "n")
+    sums = F.col("sums")
+    if not open_.isEmpty():
+        settled = stored(model.settled(open_.select("gram").distinct()))
+        size = len(model.langs)
+        more = open_.join(settled, "gram").groupBy("row").agg(_each(size, lambda i: F.sum(F.col("n") * _of("logs", i).cast("double"))).alias("more"))
+        texts = texts.join(more, "row", "left")
+        sums = _each(size, lambda i: _of("sums", i) + F.coalesce(_of("more", i), F.lit(0.0)))
+    mean = F.transform(sums, lambda x: -x / F.greatest(F.col("letters"), F.lit(1)))
+    return texts.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept.columns)], "letters", mean.alias("entropies"))
 
 
 @dataclass

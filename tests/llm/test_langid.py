@@ -89,6 +89,21 @@ def test_a_small_model_still_tells_languages_apart(spark):
     assert sum(list(SYLLABLES)[r.w] == r.lang for r in got) > 0.95 * len(got)
 
 
+def test_a_bounded_broadcast_loses_no_window(spark):
+    rows = fixture()
+    odd = [(900, "zzqx wwq 日本 語", None), (901, "", None), (902, rows[0][1] * 3 + " 𝔘𝔫 xyz", None)]
+    docs = frame(spark, rows + odd)
+    whole = langid.fit(frame(spark, rows))
+    want = {r.doc_id: r for r in langid.entropies(docs, whole, "doc_id").collect()}
+    for entries in (300, 3):
+        model = langid.fit(frame(spark, rows), entries=entries)
+        assert sum(map(len, model.hashes)) <= entries < sum(map(len, whole.hashes))
+        got = {r.doc_id: r for r in langid.entropies(docs, model, "doc_id").collect()}
+        assert got.keys() == want.keys()
+        for k, r in want.items():
+            assert got[k].letters == r.letters and np.allclose(got[k].entropies, r.entropies, rtol=1e-6), (entries, k)
+
+
 def test_pieces_of_long_texts_are_one_text(spark, monkeypatch):
     text = prose(random.Random(1), SYLLABLES["aa"], 500) + " " * 50 + "é1é" * 9
     whole = langid.windows(next(langid.pieces(text)), np.array([0]))[1]
