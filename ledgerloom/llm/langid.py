@@ -25,6 +25,7 @@ and results are refused under a name that the input has; a text of any length is
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -160,7 +161,9 @@ def estimates(grams: DataFrame, langs: list[str], alphabet: int) -> tuple[list[D
         cuts = [min(0.95, n1 / (n1 + 2 * n2)) if n1 else 0.5 for n1, n2 in zip(rare[::2], rare[1::2], strict=True)]
         rows = levels[k].withColumn("context", F.substring("gram", 1, k - 1))
         after = rows.groupBy("context").agg(_each(size, lambda i: F.sum(_of("n", i))).alias("total"), F.array(*seen).alias("kinds"))
-        back = _each(size, lambda i: F.when(_of("total", i) > 0, F.lit(cuts[i]) * _of("kinds", i) / _of("total", i)).otherwise(1.0))  # noqa: B023
+        # By functions of whole arrays, so that expressions do not grow with the square of the number of languages.
+        cut = F.from_json(F.lit(json.dumps(cuts)), "array<double>")
+        back = F.transform(F.arrays_zip(cut.alias("cut"), "total", "kinds"), lambda x: F.when(x["total"] > 0, x["cut"] * x["kinds"] / x["total"]).otherwise(1.0))
         after = after.select("context", "total", back.alias("back"))
         rows = rows.join(after, "context")
         if chances:
@@ -168,7 +171,7 @@ def estimates(grams: DataFrame, langs: list[str], alphabet: int) -> tuple[list[D
             rows = rows.join(below, F.substring("gram", 2, k - 1) == F.col("shorter"))
         else:
             rows = rows.withColumn("less", F.array_repeat(F.lit(1.0 / alphabet), size))
-        p = _each(size, lambda i: F.greatest(_of("n", i) - cuts[i], F.lit(0.0)) / F.greatest(_of("total", i), F.lit(1)) + _of("back", i) * _of("less", i))  # noqa: B023
+        p = F.transform(F.arrays_zip(cut.alias("cut"), "n", "total", "back", "less"), lambda x: F.greatest(x["n"] - x["cut"], F.lit(0.0)) / F.greatest(x["total"], F.lit(1)) + x["back"] * x["less"])
         chances.append(stored(rows.select("gram", "n", p.alias("p"))))
         backs.append(after.select("context", "back"))
     return chances, backs
@@ -200,7 +203,7 @@ class Model:
                 known = F.broadcast(known)
             rows = rows.join(known, F.substring("gram", ORDER + 1 - k, k) == F.col("own"), "left")
             rows = rows.join(context, F.substring("gram", ORDER + 1 - k, k - 1) == F.col("context"), "left")
-            shorter = _each(size, lambda i: F.coalesce(_of("back", i), F.lit(1.0)) * _of("p", i))
+            shorter = F.when(F.col("back").isNull(), F.col("p")).otherwise(F.zip_with("back", "p", lambda b, p: b * p))
             rows = rows.select("gram", F.coalesce("known", shorter).alias("p"))
         return rows.select("gram", F.transform("p", _log).alias("logs"))
 
@@ -288,7 +291,7 @@ def entropies(docs: DataFrame, model: Model, *keep: str, text: str = "text") ->
         size = len(model.langs)
         more = open_.join(settled, "gram").groupBy("row").agg(_each(size, lambda i: F.sum(F.col("n") * _of("logs", i).cast("double"))).alias("more"))
         texts = texts.join(more, "row", "left")
-        sums = _each(size, lambda i: _of("sums", i) + F.coalesce(_of("more", i), F.lit(0.0)))
+        sums = F.when(F.col("more").isNull(), F.col("sums")).otherwise(F.zip_with("sums", "more", lambda a, b: a + b))
     mean = F.transform(sums, lambda x: -x / F.greatest(F.col("letters"), F.lit(1)))
     return texts.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept.columns)], "letters", mean.alias("entropies"))
 
