@@ -116,3 +116,23 @@ def test_a_very_long_text_and_the_spans(spark, tmp_path):
     assert shared.encode() in ("start " + shared + " end").encode()[a:b] and b - a == got[2].n_removed
     assert got[None].n_bytes == 0 and got[None].spans == "" and got[None].n_chars_kept == 0
     assert got[1].n_chars_kept < len(long) and got[2].n_chars_kept == len(("start " + shared + " end").encode()[:a].decode("utf8", "replace") + ("start " + shared + " end").encode()[b:].decode("utf8", "replace"))
+
+
+def test_the_text_that_stays_is_returned(spark, tmp_path):
+    rng = random.Random(12)
+    passage = words(rng, 130)
+    few = words(rng, 51)
+    # é and è begin with the same byte, which goes with the passage; 51 words in less than 400 bytes stay wherever they occur.
+    texts = ["one " + passage + "é end", "two " + passage + "è fin", "three " + few + " x", "four " + few + " y", "copy " + passage[:300] + "z" * 200, "copy " + passage[:300] + "z" * 200, "short", None]
+    assert len(few.encode()) < N - 8
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op2_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert [got[i].kept for i in range(8)] == ["one\ufffd end", "two\ufffd fin", texts[2], texts[3], "", "", "short", ""]
+    for r in got.values():
+        body, at = (texts[r.doc_id] or "").encode(), 0
+        left = []
+        for a, b in (map(int, x.split(":")) for x in r.spans.split(",") if x):
+            left.append(body[at:a])
+            at = b
+        left = b"".join([*left, body[at:]])
+        assert r.kept == left.decode("utf8", "replace") and hashlib.sha256(left).hexdigest() == r.kept_sha256 and len(r.kept) == r.n_chars_kept
