@@ -83,7 +83,8 @@ def links(classes: DataFrame, node: str = "fp") -> DataFrame:
     low = F.when(own == 0, SEGMENTS[0][0]).when(own == 1, SEGMENTS[1][0]).otherwise(SEGMENTS[2][0])
     once = (first == own) & ((differs != 0) | (wild == low))
     on = (F.col("a.wild") == F.col("b.wild")) & (F.col("a.rest") == F.col("b.rest")) & (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(apart) <= RADIUS) & once
-    return a.join(b, on).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    # Spark sizes a side by the classes' file, as if the 64 variants of each were one row, and would broadcast it.
+    return a.join(b.hint("merge"), on).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
 
 
 def components(pairs: DataFrame) -> DataFrame:

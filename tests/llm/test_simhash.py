@@ -109,3 +109,11 @@ def test_columns_of_any_name_come_through(spark):
     docs = spark.createDataFrame([(1, "a b c d e", 5, 1), (2, "a b c d e", 6, 2), (3, "quite another text than that", 7, 3)], "doc_id bigint, text string, `a.b` int, `c``d` int")
     got = simhash.one_of_each(docs)
     assert got.columns == docs.columns and sorted(tuple(r)[0] for r in got.collect()) == [1, 3]
+
+
+def test_variants_are_not_broadcast(spark, tmp_path):
+    """The classes' file is small; 64 variants of each row are not."""
+    spark.range(2000).selectExpr("xxhash64(id) as fp", "id as node").write.parquet(f"{tmp_path}/classes")
+    found = simhash.links(spark.read.parquet(f"{tmp_path}/classes"), "node")
+    assert found.count() == 0
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
