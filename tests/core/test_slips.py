@@ -4,6 +4,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import slips
+from ledgerloom.plans import slips as plans_slips
 
 START, END = date(2026, 9, 1), date(2026, 9, 27)
 RAW = "seq bigint, source_file string, page int, position int, payload string"
@@ -106,3 +107,20 @@ def test_self_consistent(spark):
     df = slips.typed(rows(spark, [payload(), payload(total="59,91"), payload(total="10,00"), payload(trocas=[item("1", "9,90")], total="50,00", sub_total=None), payload(total=None)]), START, END)
     args = [F.col(c) for c in ("items", "returns", "sub_total_cents", "discount_cents", "total_cents")]
     assert [r[0] for r in df.orderBy("seq").select(slips.self_consistent(*args)).collect()] == [True, True, False, True, False]
+
+
+def test_outliers_read_each_slip_once_and_only_what_they_need(spark):
+    """A query of lone dates parses no amounts and no item twice, and does not come back to the slips for them."""
+    plan = plans_slips.slip_date_outliers(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1 and "sum of items" not in plan
+
+
+def test_columns_of_typed_slips_can_be_asked_for(spark):
+    raw = plans_slips.raw(spark, "/root/testdata/sf0.001").limit(60).localCheckpoint()
+    whole = slips.typed(raw, plans_slips.START, plans_slips.END)
+    want = {c: sorted(map(str, whole.select("seq", c).collect())) for c in whole.columns[1:]}
+    for only in [("discount_cents",), ("items_uncertain",), ("date", "date_source"), ("items", "returns", "date"), ("checks", "unreadable_fields"), ("number",)]:
+        found = slips.typed(raw, plans_slips.START, plans_slips.END, "seq", *only)
+        assert set(found.columns) == {"seq", *only}
+        rows = found.localCheckpoint()
+        assert all(sorted(map(str, rows.select("seq", c).collect())) == want[c] for c in only)
